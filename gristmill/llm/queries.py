@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import exact_dedup
+from gristmill.llm import exact_dedup, jaccard_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,3 +35,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+_SETS = """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[^\\x00-\\x20]+')) AS g FROM documents),
+  s AS (SELECT MIN(doc_id) AS doc_id, list_sort(g) AS g, list(doc_id) AS ids FROM w WHERE len(g) > 0 GROUP BY list_sort(g)),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.g, b.g)) AS o, len(a.g) AS x, len(b.g) AS y
+    FROM s a JOIN s b ON a.doc_id < b.doc_id AND len(a.g) >= 0.8 * len(b.g) AND len(b.g) >= 0.8 * len(a.g))"""
+
+
+@query(
+    "op5_ngram_jaccard_join",
+    _SETS
+    + """ SELECT a AS doc_a, b AS doc_b, CAST(o * 1000000 // (x + y - o) AS BIGINT) AS millionths FROM p WHERE o * 10 >= 8 * (x + y - o)
+      UNION ALL SELECT doc_id, UNNEST(list_filter(ids, lambda i: i <> doc_id)), 1000000 FROM s""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_pairs(read(spark, sf_dir, "documents"))
