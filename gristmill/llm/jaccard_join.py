@@ -166,7 +166,60 @@ def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return key & _48, np.searchsorted(own, np.arange(len(gb)))
 
 
-BLOCK = "part int, keys binary, counts binary, rids binary, sizes binary, prints binary"
+def _bits(size: np.ndarray) -> np.ndarray:
+    """log2 of the bits of a parity map for a set of this size: the next power of two, 64 at least."""
+    return np.maximum(6, np.ceil(np.log2(np.maximum(size, 1)) - 1e-9)).astype(np.int64)
+
+
+def _parity(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The parity maps of the sets, one behind the other, as bytes: bit i is the parity of the grams whose hash ends in i."""
+    size = np.diff(bounds)
+    bits = np.int64(1) << _bits(size)
+    base = np.cumsum(bits) - bits
+    flat = np.repeat(base, size) + (h & np.repeat(bits - 1, size).astype(U)).astype(np.int64)
+    return np.packbits((np.bincount(flat, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little")
+
+
+def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Indexes of the ranges [start, start + length), one behind the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+class _Maps:
+    """Parity maps of the sets of a partition. The symmetric difference of two sets is at least the number of bits in
+    which their maps differ; a longer map folds by exclusive or to the length of a shorter one."""
+
+    def __init__(self, raw: np.ndarray, size: np.ndarray, t: float):
+        self.size, self.t, self.cls = size, t, _bits(size)
+        length = (np.int64(1) << self.cls) // 8
+        start = np.cumsum(length) - length
+        self.at, self.rows = {}, {}
+        for c in np.unique(self.cls):
+            own, up = np.flatnonzero(self.cls == c), np.flatnonzero(self.cls == c + 1)
+            m = raw[_spans(start[own], length[own])].reshape(len(own), (1 << int(c)) // 8).view(U)
+            u = raw[_spans(start[up], length[up])].reshape(len(up), (2 << int(c)) // 8).view(U)
+            half = m.shape[1]
+            at = np.full(len(size), -1, np.int64)
+            at[own] = np.arange(len(own))
+            at[up] = len(own) + np.arange(len(up))
+            self.at[c], self.rows[c] = at, np.concatenate([m, u[:, :half] ^ u[:, half:]])
+
+    def may_join(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        most = np.floor((1 - self.t) / (1 + self.t) * (self.size[x].astype(np.int64) + self.size[y]) + 1e-9)
+        c = np.minimum(self.cls[x], self.cls[y])
+        apart = np.abs(self.cls[x] - self.cls[y])
+        ok = np.ones(len(x), bool)
+        for k in np.unique(c):
+            which = np.flatnonzero((c == k) & (apart <= 1))
+            step = max(1, (4 << 20) >> int(k))
+            for i in range(0, len(which), step * 8):
+                w = which[i : i + step * 8]
+                differ = np.bitwise_count(self.rows[k][self.at[k][x[w]]] ^ self.rows[k][self.at[k][y[w]]]).sum(axis=1)
+                ok[w] = differ <= most[w]
+        return ok
+
+
+BLOCK = "part int, keys binary, counts binary, rids binary, sizes binary, prints binary, maps binary"
 
 
 def _blocks(n: int, plan: Plan, parts: int):
@@ -175,7 +228,9 @@ def _blocks(n: int, plan: Plan, parts: int):
     def flush(held: list, arrays: dict) -> pa.RecordBatch:
         key = np.concatenate([x[0] for x in held])
         doc = np.concatenate([x[1] for x in held])
-        rid, size, mark = (np.concatenate(arrays[k]) for k in ("rid", "size", "print"))
+        rid, size, mark, maps = (np.concatenate(arrays[k]) for k in ("rid", "size", "print", "map"))
+        length = (np.int64(1) << _bits(size)) // 8
+        start = np.cumsum(length) - length
         part = ((key >> U(32)) * U(parts)) >> U(32)
         order = np.lexsort((doc, part))
         key, doc, part = key[order], doc[order], part[order].astype(np.int64)
@@ -188,15 +243,15 @@ def _blocks(n: int, plan: Plan, parts: int):
             count = np.diff(np.append(at, len(d)))
             # the low 48 bits of a key with its kind; the high bits chose the partition
             six = (key[cut[p] : cut[p + 1]] & _48).view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((int(p), six.tobytes(), count.astype(np.int32).tobytes(), rid[who].tobytes(), size[who].astype(np.int32).tobytes(), mark[who].tobytes()))
+            rows.append((int(p), six.tobytes(), count.astype(np.int32).tobytes(), rid[who].tobytes(), size[who].astype(np.int32).tobytes(), mark[who].tobytes(), maps[_spans(start[who], length[who])].tobytes()))
         held.clear()
         for x in arrays.values():
             x.clear()
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "keys", "counts", "rids", "sizes", "prints"])
+        cols = list(zip(*rows)) if rows else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "keys", "counts", "rids", "sizes", "prints", "maps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, arrays, total, docs = [], {"rid": [], "size": [], "print": []}, 0, 0
+        held, arrays, total, docs = [], {"rid": [], "size": [], "print": [], "map": []}, 0, 0
         for batch in batches:
             texts, rids = batch.column("text"), batch.column("rid").to_numpy(zero_copy_only=False)
             for a, z in chunks(texts):
@@ -214,6 +269,7 @@ def _blocks(n: int, plan: Plan, parts: int):
                     arrays["rid"].append(rids[a2:z2].astype(np.int64))
                     arrays["size"].append(size)
                     arrays["print"].append(mark)
+                    arrays["map"].append(_parity(h, bounds))
                     docs += z2 - a2
                     total += len(key)
                     if total >= FLUSH:
@@ -256,6 +312,7 @@ def _candidates(t: float):
         length = np.bincount(run_id) if len(key) else np.zeros(0, np.int64)
         at = np.flatnonzero(length[run_id] > 1) if len(key) else np.zeros(0, np.int64)
         run_id, doc, kind, found, held, step = run_id[at], doc[at], kind[at], [], 0, 1
+        maps = _Maps(joined("maps", np.uint8), size, t)
         here = np.arange(len(run_id))
         while len(here):
             here = here[here + step < len(run_id)]
@@ -264,6 +321,8 @@ def _candidates(t: float):
             small, big = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
             ok = (kind[here] | kind[here + step]) & (x != y) & (small >= np.ceil(big * t - 1e-9))
             x, y = x[ok], y[ok]
+            ok = maps.may_join(x, y)
+            x, y = x[ok], y[ok]
             pair = (np.minimum(x, y).astype(U) << U(32)) | np.maximum(x, y).astype(U)
             found.append(pair)
             held += len(pair)
