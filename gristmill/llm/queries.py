@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import exact_dedup, jaccard_join
+from gristmill.llm import exact_dedup, jaccard_join, mixing, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,38 @@ _SETS = """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_pairs(read(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.passing(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def _mixed32(c: str) -> str:
+    h = f"(({c}) * 2654435761) % 4294967296"
+    for shift in (16, 15):
+        h = f"((xor({h}, ({h}) >> {shift})) * 1597334677) % 4294967296"
+    return f"xor({h}, ({h}) >> 16)"
+
+
+@query(
+    "op8_source_mixing",
+    f"""WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(text, '[^\\x00-\\x20]+')) AS BIGINT) AS n,
+          CAST(length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g')) + 1 AS DOUBLE) / CAST(length(text) + 1 AS DOUBLE) AS w FROM documents),
+        h AS (SELECT *, {_mixed32("(doc_id + 20) % 2147483648")} AS h1 FROM d WHERE n > 0),
+        g AS (SELECT *, {_mixed32("xor(h1 >> 1, doc_id >> 31)")} AS h2 FROM h),
+        k AS (SELECT doc_id, source, n, -ln((CAST(h1 * 1048576 AS DOUBLE) + CAST(h2 >> 12 AS DOUBLE) + 0.5) / 4503599627370496.0) / w AS key FROM g),
+        s AS (SELECT source, CAST(SUM(n) AS HUGEINT) AS have, CAST(floor(sqrt(CAST(SUM(n) AS DOUBLE))) AS HUGEINT) AS weight FROM k GROUP BY source),
+        b AS (SELECT source, have, CAST(((SELECT SUM(have) FROM s) * 100 // 100) * weight // (SELECT SUM(weight) FROM s) AS HUGEINT) AS budget FROM s),
+        o AS (SELECT k.*, b.budget // b.have AS epochs, b.budget % b.have AS rest,
+          SUM(k.n) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source)
+      SELECT doc_id, source, n AS n_tokens, CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM o
+      WHERE epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(read(spark, sf_dir, "documents"))
+
+
+@query("op9_cost_balanced_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
