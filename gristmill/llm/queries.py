@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import exact_dedup, jaccard_join, mixing, packing, quality
+from gristmill.llm import chat, exact_dedup, jaccard_join, licenses, mixing, packing, quality, suffix_dedup, token_output, warc
+from gristmill.llm.common import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +87,39 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_cost_balanced_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query("op1_token_output")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_output.write_tokens(token_output.tokenized(read(spark, sf_dir, "documents")), path)
+    return token_output.read_tokens(spark, path)
+
+
+@query("op2_chat_windows")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_windows(read(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op7_suffix_dedup",
+    """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x20]+') AS w FROM documents),
+         g AS (SELECT doc_id, UNNEST(list_transform(range(0, len(w) - 49), lambda i: {'p': i, 'h': md5(array_to_string(w[i + 1 : i + 50], ' '))})) AS x
+               FROM w WHERE len(w) >= 50),
+         r AS (SELECT doc_id, x.p AS p FROM g QUALIFY COUNT(*) OVER (PARTITION BY x.h) > 1),
+         s AS (SELECT doc_id, p, CASE WHEN p - LAG(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM r),
+         i AS (SELECT doc_id, p, SUM(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM s)
+       SELECT doc_id, CAST(MIN(p) AS BIGINT) AS start_word, CAST(MAX(p) + 50 AS BIGINT) AS end_word FROM i GROUP BY doc_id, span""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.detect(read(spark, sf_dir, "documents"))
+
+
+@query("op10_warc_normaliser")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.normalised_pages(read(spark, sf_dir, "pages"))
