@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_B, -1, 1 << 64)
 U = np.uint64
@@ -111,3 +111,14 @@ def ngrams(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         inside = here < stop
         g = np.where(inside, mix(g * U(0x9FB21C651E98DF25) + h[np.minimum(here, len(h) - 1)] + U(1)), g) if len(h) else g
     return g, out_bounds
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of integers, all first bytes, then all second ones: high bytes that are zero compress away."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()

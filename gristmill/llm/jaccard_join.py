@@ -17,8 +17,9 @@ with |r| <= |s| <= |r| / t the symmetric difference is at most H = (1-t)/t * |r|
 * Cost-based allocation: for each band v, q and m are chosen by an estimate of signatures written plus candidates
   checked.
 
-Signatures travel as packed blocks (task and partition wise), not as rows. Sets that are equal (by 128 bits) are
-joined to their least document only, so that copies cost one row each; distinct sets are verified on the words themselves.
+Signatures travel as packed blocks (task and partition wise), not as rows. Sets that are equal (in size and
+a 64-bit sum) are joined to their least document only, so that copies cost one row each; distinct sets are verified on
+the words themselves, where a document's text travels once for each block of its component, not once for each pair.
 Candidate keys are hashes: a collision makes a false candidate, which verification drops.
 
 Defined cases: NULL and empty texts have no grams and join nothing; a text of fewer than n words has one gram; a pair of
@@ -35,18 +36,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import BROADCAST_BYTES, text_bytes, unpacked, with_row_id, written
-from gristmill.llm.grams import U, chunks, mix, ngrams, words
+from gristmill.llm.grams import U, chunks, mix, ngrams, planes, unplanes, words
 
 N = 1
 THRESHOLD = 0.8
 ROUNDS = 3
-#: Bytes of signatures that a reducer gets, about; their number grows with the input.
+#: Bytes of text whose signatures a reducer gets, about, and the least number of reducers: it grows with the input.
 PARTITION_BYTES = 32 << 20
-FLUSH = 1 << 21
+LEAST_PARTITIONS = 32
+FLUSH = 1 << 20
+#: What checking a candidate by its parity map costs against writing, moving and sorting a signature.
+CANDIDATE_COST = 0.1
+#: Documents of a component that are verified side by side; larger components go in pairs of such blocks.
+VERIFY_BLOCK = 512
 _SPLIT = re.compile("[\x00-\x20]+")
 _48 = U((1 << 48) - 1)
 
@@ -91,7 +97,7 @@ class Plan:
                         equal = math.exp(-apart) * (1 + apart if v == 2 else 1)
                         both = 0.15 * k
                         some = 1 - sum(math.exp(-both) * both**i / math.factorial(i) for i in range(q + 1))
-                        yield signatures + self.rows / 16 * m * equal * some, (v, q, m, slack)
+                        yield signatures + CANDIDATE_COST * self.rows / 16 * m * equal * some, (v, q, m, slack)
                         break
 
 
@@ -167,8 +173,8 @@ def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bits(size: np.ndarray) -> np.ndarray:
-    """log2 of the bits of a parity map for a set of this size: the next power of two, 64 at least."""
-    return np.maximum(6, np.ceil(np.log2(np.maximum(size, 1)) - 1e-9)).astype(np.int64)
+    """log2 of the bits of a parity map for a set of this size: between half of it and all, 64 at least."""
+    return np.maximum(6, np.ceil(np.log2(np.maximum(size, 1)) - 1e-9) - 1).astype(np.int64)
 
 
 def _parity(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -243,7 +249,7 @@ def _blocks(n: int, plan: Plan, parts: int):
             count = np.diff(np.append(at, len(d)))
             # the low 48 bits of a key with its kind; the high bits chose the partition
             six = (key[cut[p] : cut[p + 1]] & _48).view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((int(p), six.tobytes(), count.astype(np.int32).tobytes(), rid[who].tobytes(), size[who].astype(np.int32).tobytes(), mark[who].tobytes(), maps[_spans(start[who], length[who])].tobytes()))
+            rows.append((int(p), six.tobytes(), planes(count, 4), planes(np.diff(rid[who], prepend=0), 8), planes(size[who], 4), mark[who].tobytes(), maps[_spans(start[who], length[who])].tobytes()))
         held.clear()
         for x in arrays.values():
             x.clear()
@@ -260,10 +266,9 @@ def _blocks(n: int, plan: Plan, parts: int):
                     h, bounds = gram_sets(texts.slice(a2, z2 - a2), n)
                     size = np.diff(bounds)
                     some = np.flatnonzero(size)
-                    mark = np.zeros((z2 - a2, 2), U)
+                    mark = np.zeros(z2 - a2, U)
                     if len(some):
-                        mark[some, 0] = np.add.reduceat(mix(h), bounds[:-1][some])
-                        mark[some, 1] = np.add.reduceat(mix(h ^ U(0xA0761D6478BD642F)), bounds[:-1][some])
+                        mark[some] = np.add.reduceat(mix(h), bounds[:-1][some])
                     key, doc = signatures(h, bounds, plan)
                     held.append((key, doc + docs))
                     arrays["rid"].append(rids[a2:z2].astype(np.int64))
@@ -292,12 +297,15 @@ def _candidates(t: float):
         key = np.zeros((len(six), 8), np.uint8)
         key[:, :6] = six
         key = key.view(U).ravel()
-        rid, size, count = joined("rids", np.int64), joined("sizes", np.int32), joined("counts", np.int32)
-        mark = joined("prints", U).reshape(-1, 2)
+        del six
+        columns = {k: [unplanes(b, w).astype(np.int64) for b in table.column(k).to_pylist()] for k, w in (("rids", 8), ("sizes", 4), ("counts", 4))}
+        rid = np.concatenate([np.cumsum(x) for x in columns["rids"]])
+        size, count = np.concatenate(columns["sizes"]), np.concatenate(columns["counts"])
+        mark = joined("prints", U)
         doc = np.repeat(np.arange(len(rid)), count)
         # documents with equal sets: only the least goes on, the others are joined to it
-        order = np.lexsort((rid, mark[:, 1], mark[:, 0]))
-        new = np.concatenate([[True], (mark[order][1:] != mark[order][:-1]).any(axis=1)])
+        order = np.lexsort((rid, size, mark))
+        new = np.concatenate([[True], (mark[order][1:] != mark[order][:-1]) | (size[order][1:] != size[order][:-1])])
         lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         leader = np.empty(len(rid), np.int64)
         leader[order] = lead
@@ -347,49 +355,62 @@ def _exact_sets(text: str, n: int) -> frozenset:
 
 
 def _verify(n: int, t: float):
-    """(a, b, text_a, text_b), with equal a in a row, to (a, b, overlap, size of the union) of the pairs that reach t."""
+    """Rows by task: first its documents (text, no b), then its pairs. The pairs that reach t, with overlap and size of the union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, frozenset()
+        task, sets = None, {}
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = pc.utf8_lower(batch.column("ta")), pc.utf8_lower(batch.column("tb"))
+            keys = zip(*[batch.column(c).to_pylist() for c in ("root", "ca", "cb", "a", "b")])
+            text = pc.utf8_lower(batch.column("text"))
             out: list[tuple[int, int, int, int]] = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, left = a[i], _exact_sets(ta[i].as_py(), n)
-                right = _exact_sets(tb[i].as_py(), n)
-                both = len(left & right)
-                union = len(left) + len(right) - both
+            for i, (root, ca, cb, a, b) in enumerate(keys):
+                if task != (root, ca, cb):
+                    task, sets = (root, ca, cb), {}
+                if b is None:
+                    sets[a] = _exact_sets(text[i].as_py(), n)
+                    continue
+                both = len(sets[a] & sets[b])
+                union = len(sets[a]) + len(sets[b]) - both
                 if both >= t * union - 1e-9:
-                    out.append((a[i], b[i], both, union))
+                    out.append((a, b, both, union))
             c = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["a", "b", "overlap", "total"])
 
     return run
 
 
+def _verified(near: DataFrame, slim: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, millionths) of the candidates that reach the threshold."""
+    tree = components(near)
+    member = tree.unionByName(tree.select(F.col("root").alias("rid"), "root").distinct())
+    block = ((F.row_number().over(Window.partitionBy("root").orderBy("rid")) - 1) / VERIFY_BLOCK).cast("int")
+    member = written(member.withColumn("c", block), "pair-blocks")
+    left = member.select(F.col("rid").alias("a"), "root", F.col("c").alias("ca"))
+    right = member.select(F.col("rid").alias("b"), F.col("c").alias("cb"))
+    pairs = written(near.join(left, "a").join(right, "b").select("root", "ca", "cb", "a", "b"), "pair-tasks")
+    need = written(pairs.select("root", "ca", "cb", "a").union(pairs.select("root", "ca", "cb", "b")).distinct().withColumnRenamed("a", "rid"), "pair-needs")
+    rows = need.count()
+    texts = slim.join(F.broadcast(need) if rows * 48 <= BROADCAST_BYTES else need.hint("shuffle_hash"), "rid")
+    texts = texts.select("root", "ca", "cb", F.col("rid").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    tasks = texts.unionByName(pairs.withColumn("text", F.lit(None).cast("string"))).repartition("root", "ca", "cb")
+    tasks = tasks.sortWithinPartitions("root", "ca", "cb", F.col("b").asc_nulls_first())
+    found = tasks.mapInArrow(_verify(n, threshold), "a bigint, b bigint, overlap bigint, total bigint")
+    return found.select("a", "b", F.expr("overlap * 1000000 div total").alias("millionths"))
+
+
 def _pairs(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b, jaccard) over the rids of ``keyed`` (row, rid), a < b; jaccard in millionths, rounded down."""
     slim = keyed.select("rid", F.col("row").getField("text").alias("text"))
     size, rows = text_bytes(slim)
     plan = Plan(threshold, rows)
-    parts = max(1, math.ceil(size * 1.2 / PARTITION_BYTES))
+    parts = max(LEAST_PARTITIONS, math.ceil(size / PARTITION_BYTES))
     blocks = slim.filter("text IS NOT NULL").mapInArrow(_blocks(n, plan, parts), BLOCK)
     found = blocks.groupBy("part").applyInArrow(_candidates(threshold), "a bigint, b bigint, same boolean")
     # copies are reported by every partition, so a copy's least leader over all of them is its own
     found = written(found.distinct(), "candidates")
     twins = found.filter("same").select("a", "b", F.lit(1_000_000).cast("bigint").alias("millionths"))
     near = found.filter("NOT same").select("a", "b")
-    pairs = near.count()
-    ends = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "rid")
-    small = pairs * 48 <= BROADCAST_BYTES
-    texts = slim.join(F.broadcast(ends) if small else ends.hint("shuffle_hash"), "rid", "left_semi")
-    texts = written(texts, "pair-texts")
-    sides = near.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
-    sides = sides.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
-    near = sides.sortWithinPartitions("a").select("a", "b", "ta", "tb").mapInArrow(_verify(n, threshold), "a bigint, b bigint, overlap bigint, total bigint")
-    return twins.unionByName(near.select("a", "b", F.expr("overlap * 1000000 div total").alias("millionths")))
+    return twins.unionByName(_verified(near, slim, n, threshold))
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:

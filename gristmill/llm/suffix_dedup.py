@@ -25,29 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import text_bytes, with_row_id
-from gristmill.llm.grams import U, _power, chunks, mix, words
+from gristmill.llm.grams import U, _power, chunks, mix, planes, unplanes, words
 
 THRESHOLD = 50
 DOUBLINGS = 1
 PARTITION_BYTES = 24 << 20
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 _STEP = 0xC2B2AE3D27D4EB4F
 _STEP_INV = pow(_STEP, -1, 1 << 64)
 BLOCK = "part int, rids binary, counts binary, gaps binary, keys binary"
 NAMES = ["part", "rids", "counts", "gaps", "keys"]
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of integers, all first bytes, then all second ones: high bytes that are zero compress away."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _unplanes(b: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(b) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
-    return out.view("<u8").ravel()
-
-
 def _pack(part: np.ndarray, rid: np.ndarray, pos: np.ndarray, key: np.ndarray, width: int) -> pa.RecordBatch:
     """Blocks by part of rows that come by rid and position."""
     order = np.argsort(part, kind="stable")
@@ -60,7 +49,7 @@ def _pack(part: np.ndarray, rid: np.ndarray, pos: np.ndarray, key: np.ndarray, w
         at = np.flatnonzero(new)
         gap = p.copy()
         gap[1:] = np.where(new[1:], p[1:], p[1:] - p[:-1])
-        rows.append((int(part[a]), r[at].tobytes(), np.diff(np.append(at, z - a)).astype(np.int32).tobytes(), _planes(gap, 4), _planes(key[a:z], width)))
+        rows.append((int(part[a]), r[at].tobytes(), np.diff(np.append(at, z - a)).astype(np.int32).tobytes(), planes(gap, 4), planes(key[a:z], width)))
     cols = list(zip(*rows)) if rows else [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], NAMES)
 
@@ -69,12 +58,12 @@ def _unpack(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     rids, positions, keys = [], [], []
     for r, c, g, k in zip(*[t.column(n).to_pylist() for n in NAMES[1:]]):
         count = np.frombuffer(c, np.int32)
-        gap = _unplanes(g, 4).astype(np.int64)
+        gap = unplanes(g, 4).astype(np.int64)
         total = np.cumsum(gap)
         at = np.cumsum(count) - count
         positions.append(total - np.repeat(total[at] - gap[at], count))
         rids.append(np.repeat(np.frombuffer(r, np.int64), count))
-        keys.append(_unplanes(k, width))
+        keys.append(unplanes(k, width))
     return np.concatenate(rids), np.concatenate(positions), np.concatenate(keys)
 
 
