@@ -291,18 +291,22 @@ def _candidates(t: float):
 
     def run(table: pa.Table) -> pa.Table:
         def joined(name: str, kind) -> np.ndarray:
-            return np.concatenate([np.frombuffer(b, kind) for b in table.column(name).to_pylist()])
+            """All values of a binary column, one behind the other, without a copy where the column is one piece."""
+            c = table.column(name)
+            c = c.chunk(0) if c.num_chunks == 1 else c.combine_chunks()
+            c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+            off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            return np.frombuffer(c.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind)
 
         six = joined("keys", np.uint8).reshape(-1, 6)
-        key = np.zeros((len(six), 8), np.uint8)
-        key[:, :6] = six
-        key = key.view(U).ravel()
+        key = np.zeros(len(six), U)
+        key.view(np.uint8).reshape(-1, 8)[:, :6] = six
         del six
         columns = {k: [unplanes(b, w).astype(np.int64) for b in table.column(k).to_pylist()] for k, w in (("rids", 8), ("sizes", 4), ("counts", 4))}
         rid = np.concatenate([np.cumsum(x) for x in columns["rids"]])
         size, count = np.concatenate(columns["sizes"]), np.concatenate(columns["counts"])
-        mark = joined("prints", U)
-        doc = np.repeat(np.arange(len(rid)), count)
+        mark = joined("prints", np.uint8).copy().view(U)
+        doc = np.repeat(np.arange(len(rid), dtype=np.int32), count)
         # documents with equal sets: only the least goes on, the others are joined to it
         order = np.lexsort((rid, size, mark))
         new = np.concatenate([[True], (mark[order][1:] != mark[order][:-1]) | (size[order][1:] != size[order][:-1])])
@@ -311,15 +315,22 @@ def _candidates(t: float):
         leader[order] = lead
         twins = np.flatnonzero(rid[leader] != rid)
         a_out, b_out, same = [rid[leader[twins]]], [rid[twins]], [np.ones(len(twins), bool)]
-        keep = rid[leader[doc]] == rid[doc]
-        key, doc = key[keep], leader[doc[keep]]
+        keep = (rid[leader] == rid)[doc]
+        key, doc = key[keep], leader[doc[keep]].astype(np.int32)
+        del keep
+        # by subset, with the kind of signature in the lowest bit
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+        del order
+        same_run = (key[1:] >> U(1)) == (key[:-1] >> U(1))
+        shared = np.zeros(len(key), bool)
+        shared[1:] |= same_run
+        shared[:-1] |= same_run
+        key, doc = key[shared], doc[shared].astype(np.int64)
         kind, key = (key & U(1)).astype(bool), key >> U(1)
-        order = np.argsort(key, kind="stable")
-        key, doc, kind = key[order], doc[order], kind[order]
         run_id = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else np.zeros(0, np.int64)
-        length = np.bincount(run_id) if len(key) else np.zeros(0, np.int64)
-        at = np.flatnonzero(length[run_id] > 1) if len(key) else np.zeros(0, np.int64)
-        run_id, doc, kind, found, held, step = run_id[at], doc[at], kind[at], [], 0, 1
+        del key, shared, same_run
+        found, held, step = [], 0, 1
         maps = _Maps(joined("maps", np.uint8), size, t)
         here = np.arange(len(run_id))
         while len(here):
@@ -334,7 +345,7 @@ def _candidates(t: float):
             pair = (np.minimum(x, y).astype(U) << U(32)) | np.maximum(x, y).astype(U)
             found.append(pair)
             held += len(pair)
-            if held > 4 << 20:
+            if held > 2 << 20:
                 found, held = [np.unique(np.concatenate(found))], 0
             step += 1
         pair = np.unique(np.concatenate(found)) if found else np.zeros(0, U)
