@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gristmill.operators.aggregate import AggSpec, group_aggregate
+from gristmill.functions import sketch
+from gristmill.functions.hashing import feeder, is_power_of_two, mix32, next_power_of_two, owner, tuple_hash
+from gristmill.operators import cart, scaleout, shuffle
+from gristmill.operators.aggregate import Agg, AggSpec, audit, group_aggregate, merge, partial, raw_aggregate
+from gristmill.plans import chunked
+from gristmill.sources import generator
 from gristmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +35,305 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("group_count", "SELECT l_orderkey, COUNT(*) AS cnt FROM lineitem GROUP BY l_orderkey")
 def group_count(spark: SparkSession, data_dir: str) -> DataFrame:
     return group_aggregate(table(spark, data_dir, "lineitem"), AggSpec(["l_orderkey"]))
+
+
+# --- aggregation -------------------------------------------------------------------------------------------------
+
+_COUNT_SQL = "SELECT l_orderkey, COUNT(*) AS cnt FROM lineitem GROUP BY l_orderkey"
+
+
+def _mix_sql(key: str) -> str:
+    h = f"(({key}) * 2654435761) % 4294967296"
+    for shift in (16, 15):
+        h = f"(xor({h}, ({h}) >> {shift}) * 1597334677) % 4294967296"
+    return f"xor({h}, ({h}) >> 16)"
+
+
+_HASHED = f"(SELECT l_orderkey, {_mix_sql('l_orderkey')} AS h FROM lineitem)"
+
+
+def _lines(spark: SparkSession, data_dir: str) -> DataFrame:
+    return table(spark, data_dir, "lineitem")
+
+
+@query("group_count_multikey", "SELECT l_returnflag, l_linestatus, COUNT(*) AS cnt FROM lineitem GROUP BY ALL")
+def group_count_multikey(spark, data_dir):
+    return group_aggregate(_lines(spark, data_dir), AggSpec(["l_returnflag", "l_linestatus"]))
+
+
+@query(
+    "group_multi_agg",
+    """SELECT l_returnflag, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, MIN(l_quantity) AS least, MAX(l_quantity) AS most,
+       BIT_OR(l_linenumber) AS lines, COUNT(*) AS cnt FROM lineitem GROUP BY l_returnflag""",
+)
+def group_multi_agg(spark, data_dir):
+    aggs = [Agg("total", "sum", F.col("l_quantity").cast("bigint")), Agg("least", "min", "l_quantity"), Agg("most", "max", "l_quantity"), Agg("lines", "bit_or", "l_linenumber"), Agg("cnt")]
+    return group_aggregate(_lines(spark, data_dir), AggSpec(["l_returnflag"], aggs))
+
+
+@query("partial_then_merge", _COUNT_SQL)
+def partial_then_merge(spark, data_dir):
+    spec = AggSpec(["l_orderkey"])
+    pages = _lines(spark, data_dir).withColumn("chunk", F.pmod(F.col("l_partkey"), F.lit(8)))
+    return merge(partial(pages, spec, "chunk"), spec)
+
+
+@query("partial_sizes", "SELECT chunk, COUNT(*) AS n_states FROM (SELECT DISTINCT l_partkey % 8 AS chunk, l_orderkey FROM lineitem) GROUP BY chunk")
+def partial_sizes(spark, data_dir):
+    pages = _lines(spark, data_dir).withColumn("chunk", F.pmod(F.col("l_partkey"), F.lit(8)))
+    return partial(pages, AggSpec(["l_orderkey"]), "chunk").groupBy("chunk").agg(F.count(F.lit(1)).alias("n_states"))
+
+
+@query("raw_partition_agg", _COUNT_SQL)
+def raw_partition_agg(spark, data_dir):
+    return raw_aggregate(_lines(spark, data_dir), AggSpec(["l_orderkey"]))
+
+
+@query("cart_aggregate", _COUNT_SQL)
+def cart_aggregate(spark, data_dir):
+    return cart.adaptive_aggregate(_lines(spark, data_dir), AggSpec(["l_orderkey"]))
+
+
+@query(
+    "cart_decision",
+    """SELECT COUNT(*) AS observed, COUNT(DISTINCT l_orderkey) AS misses, COUNT(*) > 1000 AND COUNT(DISTINCT l_orderkey) / COUNT(*) > 0.2 AS useless
+       FROM lineitem WHERE l_orderkey < 5000""",
+)
+def cart_decision(spark, data_dir):
+    seen = cart.miss_ratio(_lines(spark, data_dir).filter("l_orderkey < 5000"), ["l_orderkey"])
+    return seen.withColumn("useless", cart.useless(F.col("observed"), F.col("misses"), cart.ADAPTIVE_THRESHOLD, 1000))
+
+
+@query("audit_invariants", "SELECT COUNT(DISTINCT l_orderkey) AS n_groups, COUNT(*) AS n_rows FROM lineitem")
+def audit_invariants(spark, data_dir):
+    return audit(group_aggregate(_lines(spark, data_dir), AggSpec(["l_orderkey"])))
+
+
+@query("project_tuple", "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem")
+def project_tuple(spark, data_dir):
+    return _lines(spark, data_dir).select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+# --- partitions, ownership, shuffles -----------------------------------------------------------------------------
+
+
+@query("radix_partition_profile", f"SELECT CAST(h >> 26 AS INTEGER) AS part, COUNT(*) AS n_rows, COUNT(DISTINCT l_orderkey) AS n_keys FROM {_HASHED} GROUP BY 1")
+def radix_partition_profile(spark, data_dir):
+    return shuffle.profile(_lines(spark, data_dir), mix32(F.col("l_orderkey")), 64, "l_orderkey", 32)
+
+
+@query("partition_group_profile", f"SELECT CAST(h >> 28 AS INTEGER) AS grp, COUNT(*) AS n_rows FROM {_HASHED} GROUP BY 1")
+def partition_group_profile(spark, data_dir):
+    d = shuffle.ownership(_lines(spark, data_dir), mix32(F.col("l_orderkey")), 64, 4, 4, 32)
+    return d.groupBy("grp").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("node_ownership", "SELECT CAST(g AS INTEGER) AS grp, n AS nodes, CAST((g * n) >> 4 AS INTEGER) AS node FROM range(16) t(g), (SELECT UNNEST([1, 2, 3, 4, 6, 16]) AS n)")
+def node_ownership(spark, data_dir):
+    g = spark.range(16).select(F.col("id").cast("int").alias("grp"))
+    parts = [g.select("grp", F.lit(n).alias("nodes"), owner(F.col("grp"), 16, n).alias("node")) for n in (1, 2, 3, 4, 6, 16)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query("node_group_counts", f"SELECT CAST(((h >> 28) * 4) >> 4 AS INTEGER) AS node, COUNT(DISTINCT l_orderkey) AS n_groups FROM {_HASHED} GROUP BY 1")
+def node_group_counts(spark, data_dir):
+    d = group_aggregate(_lines(spark, data_dir), AggSpec(["l_orderkey"]))
+    return shuffle.ownership(d, mix32(F.col("l_orderkey")), 64, 4, 4, 32).groupBy("node").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+@query("shuffle_rows", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem")
+def shuffle_rows(spark, data_dir):
+    return shuffle.redistribute(_lines(spark, data_dir), ["l_orderkey"], columns=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+
+
+@query(
+    "thread_mapping",
+    """SELECT CAST(q AS INTEGER) AS q, CAST(CASE WHEN q < 9 THEN q // 3 ELSE (q - 9) // 2 + 3 END AS INTEGER) AS feeder, CAST(CASE WHEN q < 9 THEN 3 ELSE 2 END AS INTEGER) AS grp_size,
+       CAST(CASE WHEN q < 9 THEN q % 3 ELSE (q - 9) % 2 END AS INTEGER) AS local_id FROM range(11) t(q)""",
+)
+def thread_mapping(spark, data_dir):
+    q = spark.range(11).select(F.col("id").cast("int").alias("q"))
+    at, size, local = feeder(F.col("q"), 11, 4)
+    return q.select("q", at.alias("feeder"), size.alias("grp_size"), local.alias("local_id"))
+
+
+# --- sketches and hashes -----------------------------------------------------------------------------------------
+
+_REG = f"""SELECT CAST(h & 255 AS INTEGER) AS reg, MAX(CAST(CASE WHEN h >> 8 = 0 THEN 24 ELSE bit_count(((h >> 8) & -(h >> 8)) - 1) + 1 END AS INTEGER)) AS rank
+  FROM {_HASHED} GROUP BY 1"""
+_EST = f"""SELECT CAST(floor(CASE WHEN z > 0 AND raw < 640 THEN 256.0 * ln(256.0 / z) ELSE raw END) AS BIGINT) AS estimate FROM (
+  SELECT 256 - COUNT(*) AS z, CAST(0.7213 AS DOUBLE) / (1 + CAST(1.079 AS DOUBLE) / 256) * 65536 / (SUM(pow(CAST(2 AS DOUBLE), -rank)) + (256 - COUNT(*))) AS raw FROM ({_REG}))"""
+
+
+@query("hll_registers", _REG)
+def hll_registers(spark, data_dir):
+    return sketch.registers(_lines(spark, data_dir), mix32(F.col("l_orderkey")), bits=32)
+
+
+@query("hll_estimate", _EST)
+def hll_estimate(spark, data_dir):
+    return sketch.estimate(hll_registers(spark, data_dir))
+
+
+@query("hll_merge", _REG)
+def hll_merge(spark, data_dir):
+    d = shuffle.ownership(_lines(spark, data_dir), mix32(F.col("l_orderkey")), 64, 4, 4, 32)
+    by_group = sketch.registers(d, mix32(F.col("l_orderkey")), "node", "grp", bits=32)
+    return sketch.merge_registers(sketch.merge_registers(by_group, "node"))
+
+
+@query("ht_size", f"SELECT estimate, CAST(pow(2, ceil(log2(2 * estimate))) AS BIGINT) AS slots FROM ({_EST})")
+def ht_size(spark, data_dir):
+    return hll_estimate(spark, data_dir).withColumn("slots", sketch.table_slots(F.col("estimate")))
+
+
+@query("native_hll")
+def native_hll(spark, data_dir):
+    d = shuffle.ownership(_lines(spark, data_dir), mix32(F.col("l_orderkey")), 64, 4, 4, 32)
+    return sketch.native_estimate(sketch.native_union(sketch.native_sketch(d, "l_orderkey", "node")))
+
+
+@query(
+    "tuple_hash",
+    """SELECT DISTINCT l_partkey, l_orderkey, CAST(CASE WHEN u >= 9223372036854775808 THEN CAST(u AS HUGEINT) - 18446744073709551616 ELSE u END AS BIGINT) AS h FROM (
+       SELECT l_partkey, l_orderkey, xor(CAST(l_orderkey AS UBIGINT), CAST((CAST(l_partkey AS HUGEINT) + 5871781006564002453 + CAST(l_orderkey AS HUGEINT) * 64 + l_orderkey // 4) % 18446744073709551616 AS UBIGINT)) AS u FROM lineitem)""",
+)
+def tuple_hash_query(spark, data_dir):
+    d = _lines(spark, data_dir).select("l_partkey", "l_orderkey").distinct()
+    return d.withColumn("h", tuple_hash(F.col("l_partkey"), F.col("l_orderkey")))
+
+
+@query("power_of_two", "SELECT CAST(i AS BIGINT) AS x, CAST(pow(2, ceil(log2(i))) AS BIGINT) AS up, bit_count(i) = 1 AS is_power FROM range(1, 1001) t(i)")
+def power_of_two(spark, data_dir):
+    return spark.range(1, 1001).select(F.col("id").alias("x"), next_power_of_two(F.col("id")).alias("up"), is_power_of_two(F.col("id")).alias("is_power"))
+
+
+# --- adaptive execution ------------------------------------------------------------------------------------------
+
+_TOTAL = 24_000_000
+
+
+@query("task_splits", "SELECT CAST(i AS BIGINT) AS i, CAST(i * 2400000 AS BIGINT) AS lo, CAST((i + 1) * 2400000 AS BIGINT) AS hi FROM range(10) t(i)")
+def task_splits(spark, data_dir):
+    d = spark.range(1).select(F.lit(0).cast("bigint").alias("s"), F.lit(_TOTAL).cast("bigint").alias("e"))
+    return scaleout.split(d, "s", "e", F.lit(scaleout.CHUNKS)).select("i", "lo", "hi")
+
+
+@query("morsel_splits", "SELECT CAST(i * 1000 AS BIGINT) AS lo, CAST(least(i * 1000 + 1000, 24321) AS BIGINT) AS hi FROM range(25) t(i)")
+def morsel_splits(spark, data_dir):
+    d = spark.range(1).select(F.lit(0).cast("bigint").alias("s"), F.lit(24_321).cast("bigint").alias("e"))
+    return scaleout.morsels(d, "s", "e", 1000).select("lo", "hi")
+
+
+@query("initial_offers", "SELECT n AS workers, CAST(i AS BIGINT) AS i, CAST(i * 24000000 // n AS BIGINT) AS lo, CAST((i + 1) * 24000000 // n AS BIGINT) AS hi FROM (SELECT UNNEST([1, 2, 4]) AS n), range(4) t(i) WHERE i < n")
+def initial_offers(spark, data_dir):
+    d = spark.createDataFrame([(1,), (2,), (4,)], "workers int").withColumns({"s": F.lit(0).cast("bigint"), "e": F.lit(_TOTAL).cast("bigint")})
+    return scaleout.split(d, "s", "e", F.col("workers")).select("workers", "i", "lo", "hi")
+
+
+@query("remainder_offers", "SELECT CAST(i AS BIGINT) AS i, CAST(18600000 + i * 1800000 AS BIGINT) AS lo, CAST(18600000 + (i + 1) * 1800000 AS BIGINT) AS hi FROM range(3) t(i)")
+def remainder_offers(spark, data_dir):
+    d = spark.range(1).select(F.lit(0).cast("bigint").alias("start"), F.lit(_TOTAL).cast("bigint").alias("end"), F.lit(7).alias("chunks_done"), F.lit(1).alias("nworkers"), F.lit(4).alias("wanted"))
+    return scaleout.remainder_offers(scaleout.health_check(d), F.lit(3)).select("i", "lo", "hi")
+
+
+@query("health_checks", "SELECT CAST(c AS INTEGER) AS chunks_done, CAST(c * 2400000 + (24000000 - c * 2400000) // 4 AS BIGINT) AS rem_start, CAST(3 AS INTEGER) AS hint FROM range(1, 10) t(c)")
+def health_checks(spark, data_dir):
+    d = spark.range(1, 10).select(F.lit(0).cast("bigint").alias("start"), F.lit(_TOTAL).cast("bigint").alias("end"), F.col("id").cast("int").alias("chunks_done"), F.lit(1).alias("nworkers"), F.lit(4).alias("wanted"))
+    return scaleout.health_check(d).select("chunks_done", "rem_start", "hint")
+
+
+@query("static_policy", "SELECT CAST(i * 100 AS INTEGER) AS elapsed, CAST(CASE WHEN i * 100 > 500 THEN 4 ELSE 1 END AS INTEGER) AS wanted FROM range(11) t(i)")
+def static_policy(spark, data_dir):
+    d = spark.range(11).select((F.col("id") * 100).cast("int").alias("elapsed"))
+    return d.withColumn("wanted", scaleout.static_policy(F.col("elapsed"), F.lit(500), F.lit(1), F.lit(4)))
+
+
+_GRID = "(SELECT CAST(pow(10, g) AS BIGINT) AS groups, CAST(w AS INTEGER) AS w, CAST(t AS INTEGER) AS threads FROM range(1, 9) a(g), range(1, 5) b(w), (SELECT UNNEST([1, 6, 12, 32]) AS t))"
+_TIME = "CAST(floor(exp(5.828258 - 0.387998 * CAST({w} AS DOUBLE) + 0.136706 * ln(CAST(groups AS DOUBLE)) - 0.887925 * ln(CAST(threads AS DOUBLE)) + 0.014630 * CAST({w} AS DOUBLE) * CAST(threads AS DOUBLE))) AS BIGINT)"
+
+
+def _grid(spark: SparkSession) -> DataFrame:
+    g = spark.range(1, 9).select(F.pow(F.lit(10.0), F.col("id")).cast("bigint").alias("groups"))
+    return g.crossJoin(spark.range(1, 5).select(F.col("id").cast("int").alias("w"))).crossJoin(spark.createDataFrame([(1,), (6,), (12,), (32,)], "threads int"))
+
+
+@query("cost_model", f"SELECT groups, w, threads, {_TIME.format(w='w')} AS ms FROM {_GRID}")
+def cost_model(spark, data_dir):
+    return _grid(spark).withColumn("ms", scaleout.time_ms(F.col("groups"), F.col("w"), F.col("threads")))
+
+
+@query(
+    "regression_policy",
+    f"""SELECT groups, threads, r AS remaining_ms, CAST(coalesce((SELECT MIN(i) FROM range(1, 8) q(i) WHERE {_TIME.format(w='i')} < r), 8) AS INTEGER) AS wanted
+        FROM (SELECT DISTINCT groups, threads FROM {_GRID}), (SELECT UNNEST([50, 200, 1000]) AS r)""",
+)
+def regression_policy(spark, data_dir):
+    d = _grid(spark).select("groups", "threads").distinct().crossJoin(spark.createDataFrame([(50,), (200,), (1000,)], "remaining_ms int"))
+    d = d.withColumns({"nworkers": F.lit(1), "max_workers": F.lit(8)})
+    return scaleout.regression_policy(d).select("groups", "threads", "remaining_ms", "wanted")
+
+
+_HIST = "(SELECT CAST(o_custkey % 20 AS BIGINT) AS page, COUNT(DISTINCT o_custkey) AS groups FROM orders WHERE o_custkey % 20 > 0 GROUP BY 1)"
+
+
+def _history(spark: SparkSession, data_dir: str) -> DataFrame:
+    o = table(spark, data_dir, "orders").select(F.pmod("o_custkey", F.lit(20)).alias("page"), "o_custkey").filter("page > 0").distinct()
+    return o.groupBy("page").agg(F.count(F.lit(1)).alias("groups"))
+
+
+def _fit_sql(x: str) -> str:
+    return f"SELECT CAST(round(regr_intercept(groups, {x}) * 1000) AS BIGINT) AS a, CAST(round(regr_slope(groups, {x}) * 1000) AS BIGINT) AS b FROM {_HIST}"
+
+
+@query("log_fit", _fit_sql("ln(CAST(page AS DOUBLE))"))
+def log_fit(spark, data_dir):
+    d = scaleout.fit(_history(spark, data_dir), F.ln(F.col("page").cast("double")), F.col("groups"))
+    return d.select(F.round(F.col("a") * 1000).cast("bigint").alias("a"), F.round(F.col("b") * 1000).cast("bigint").alias("b"))
+
+
+@query("linear_fit", _fit_sql("CAST(page AS DOUBLE)"))
+def linear_fit(spark, data_dir):
+    d = scaleout.fit(_history(spark, data_dir), F.col("page"), F.col("groups"))
+    return d.select(F.round(F.col("a") * 1000).cast("bigint").alias("a"), F.round(F.col("b") * 1000).cast("bigint").alias("b"))
+
+
+@query("quadratic_fit", "SELECT CAST(3 AS BIGINT) AS a, CAST(-2 AS BIGINT) AS b, CAST(5 AS BIGINT) AS c")
+def quadratic_fit(spark, data_dir):
+    d = spark.range(1, 17).select("id", (F.lit(3) - 2 * F.col("id") + 5 * F.col("id") * F.col("id")).alias("y"))
+    return scaleout.quadratic_fit(d, F.col("id"), F.col("y")).select(*[F.round(F.col(c)).cast("bigint").alias(c) for c in "abc"])
+
+
+@query("total_groups_estimate", "SELECT p AS done, CAST(floor(CASE WHEN p * 100 < 25 THEN 10 + 20 * ln(CAST(1000 AS DOUBLE)) ELSE 10.0 + 2 * 1000 END) AS BIGINT) AS groups FROM (SELECT UNNEST([CAST(0.1 AS DOUBLE), 0.2, 0.3, 0.9]) AS p)")
+def total_groups_estimate(spark, data_dir):
+    d = spark.createDataFrame([(0.1,), (0.2,), (0.3,), (0.9,)], "done double")
+    v = scaleout.total_groups(F.lit(10.0), F.lit(20.0), F.lit(10.0), F.lit(2.0), F.lit(1000), F.col("done"), as_percent=True)
+    return d.select("done", F.floor(v).cast("bigint").alias("groups"))
+
+
+@query("cardinality_history", f"SELECT page, groups FROM {_HIST} ORDER BY page DESC LIMIT 16")
+def cardinality_history(spark, data_dir):
+    return scaleout.last_history(_history(spark, data_dir), "page")
+
+
+@query("adaptive_group_count", _COUNT_SQL)
+def adaptive_group_count(spark, data_dir):
+    d = _lines(spark, data_dir)
+    return chunked.adaptive_aggregate(d, AggSpec(["l_orderkey"]), chunked.position_of(d, "l_partkey"), 1_000_000, chunked.after_chunks(7, 4))
+
+
+# --- sources -----------------------------------------------------------------------------------------------------
+
+
+@query("generated_table_count")
+def generated_table_count(spark, data_dir):
+    return group_aggregate(generator.generated(spark, 400, 10, 1), AggSpec(["c0"]))
+
+
+@query("page_rows", "SELECT CAST(page AS BIGINT) AS page, COUNT(*) AS n_rows FROM (SELECT o_orderkey // 25 AS page FROM orders) GROUP BY 1")
+def page_rows(spark, data_dir):
+    o = table(spark, data_dir, "orders").select(generator.page_of(F.col("o_orderkey")).alias("page"))
+    return o.groupBy("page").agg(F.count(F.lit(1)).alias("n_rows"))
