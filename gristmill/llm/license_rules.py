@@ -1,172 +1,182 @@
-"""The ordered license rules: (rule, license, priority, keyword, pattern), most specific first within a family.
+"""The ordered license rules: (rule, license, priority, keywords, pattern), most specific first within a family.
 
 Patterns run case-insensitively over the text with every run of white space made one space (offsets are kept by
-the scanner). keyword is a lower-case string that every match of the pattern contains: the prefilter.
+the scanner). keywords are lower-case strings of which every match of the pattern contains one: the prefilter. They are read off
+the parsed pattern, with each optional part and alternative spelled out, so that none can be forgotten.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterable
+from re import _constants as C
+from re import _parser
+
+#: The most spellings that a stretch of a pattern is written out to.
+SPELLINGS = 16
+
 _V = r",? ?(?:version|v\.?|ver\.?)? ?"
 
 #: license | full names and phrases that name it. A leading number is the priority of the phrase's kind (default 60).
 _NAMES = r"""
-Apache-2.0|licensed under the apache license|(?:licensed|released|distributed|made available) under the (?:terms of the )?apache (?:software )?licen[sc]e@V2(?:\.0)?
-Apache-2.0|apache license|apache (?:software )?licen[sc]e@V2(?:\.0)?
-Apache-2.0|apache-2.0|apache-2\.0(?: licen[sc]e)?
-Apache-2.0|apache.org/licenses/license-2.0|(?:https?://)?(?:www\.)?apache\.org/licenses/license-2\.0(?:\.txt|\.html)?
-Apache-1.1|apache software license|apache software licen[sc]e@V1\.1
-Apache-1.0|apache license|apache licen[sc]e@V1\.0
-MIT|under the mit license|(?:licensed|released|distributed|available) under the (?:terms of the )?mit licen[sc]e
-MIT|mit license|(?:the )?mit(?:/x11)? licen[sc]e
-MIT|opensource.org/licenses/mit|(?:https?://)?(?:www\.)?opensource\.org/licenses/mit(?:-license)?(?:\.php|\.html)?
-MIT|permission is hereby granted, free of charge|permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
-MIT|the software is provided "as is"|the software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability
-MIT-0|mit no attribution|mit no attribution(?: licen[sc]e)?
-X11|x11 license|x11 licen[sc]e
-GPL-3.0-or-later|general public license|gnu general public licen[sc]e@V3(?:\.0)?,? (?:or (?:\(at your option\) )?any later version|or later)
-GPL-3.0-only|general public license|(?:licensed|released|distributed) under the (?:terms of the )?(?:gnu )?general public licen[sc]e@V3(?:\.0)?(?: only)?
-GPL-3.0-only|general public license|(?:gnu )?general public licen[sc]e@V3(?:\.0)?
-GPL-3.0-only|gpl|\b(?:gnu )?gpl ?-?v?3(?:\.0)?\b
-GPL-2.0-or-later|general public license|(?:gnu )?general public licen[sc]e as published by the free software foundation; either version 2 of the licen[sc]e,? or \(at your option\) any later version
-GPL-3.0-or-later|general public license|(?:gnu )?general public licen[sc]e as published by the free software foundation,? either version 3 of the licen[sc]e,? or \(at your option\) any later version
-GPL-2.0-or-later|general public license|gnu general public licen[sc]e@V2(?:\.0)?,? (?:or (?:\(at your option\) )?any later version|or later)
-GPL-2.0-only|general public license|(?:gnu )?general public licen[sc]e@V2(?:\.0)?
-GPL-2.0-only|gpl|\b(?:gnu )?gpl ?-?v?2(?:\.0)?\b
-GPL-1.0-only|general public license|(?:gnu )?general public licen[sc]e@V1(?:\.0)?
-GPL-1.0-or-later|general public license|gnu general public licen[sc]e
-GPL-1.0-or-later|gnu.org/licenses/gpl|(?:https?://)?(?:www\.)?gnu\.org/licenses/gpl(?:\.html|\.txt)?
-GPL-3.0-only|gnu.org/licenses/gpl-3.0|(?:https?://)?(?:www\.)?gnu\.org/licenses/gpl-3\.0(?:\.[a-z]+)*
-GPL-2.0-only|gnu.org/licenses/old-licenses/gpl-2.0|(?:https?://)?(?:www\.)?gnu\.org/licenses/old-licenses/gpl-2\.0(?:\.[a-z]+)*
-LGPL-3.0-only|lesser general public license|(?:gnu )?lesser general public licen[sc]e@V3(?:\.0)?
-LGPL-2.1-or-later|lesser general public license|(?:gnu )?lesser general public licen[sc]e@V2\.1,? (?:or (?:\(at your option\) )?any later version|or later)
-LGPL-2.1-only|lesser general public license|(?:gnu )?lesser general public licen[sc]e@V2\.1
-LGPL-2.0-only|library general public license|(?:gnu )?library general public licen[sc]e@V2(?:\.0)?
-LGPL-2.0-or-later|library general public license|(?:gnu )?library general public licen[sc]e
-LGPL-2.1-or-later|lesser general public license|(?:gnu )?lesser general public licen[sc]e
-LGPL-2.1-only|lgpl|\blgpl ?-?v?2\.1\b
-LGPL-3.0-only|lgpl|\blgpl ?-?v?3(?:\.0)?\b
-LGPL-2.1-or-later|lgpl|\blgpl\b
-AGPL-3.0-or-later|affero general public license|(?:gnu )?affero general public licen[sc]e@V3(?:\.0)?,? (?:or (?:\(at your option\) )?any later version|or later)
-AGPL-3.0-only|affero general public license|(?:gnu )?affero general public licen[sc]e@V3(?:\.0)?
-AGPL-3.0-only|affero general public license|(?:gnu )?affero general public licen[sc]e
-AGPL-3.0-only|agpl|\bagpl ?-?v?3(?:\.0)?\b
-AGPL-1.0-only|affero general public license|affero general public licen[sc]e@V1(?:\.0)?
-GFDL-1.3-or-later|free documentation license|gnu free documentation licen[sc]e@V1\.3,? or any later version
-GFDL-1.3-only|free documentation license|gnu free documentation licen[sc]e@V1\.3
-GFDL-1.2-only|free documentation license|gnu free documentation licen[sc]e@V1\.2
-GFDL-1.1-or-later|free documentation license|(?:gnu )?free documentation licen[sc]e
-BSD-4-Clause|4-clause bsd|4-clause bsd(?: licen[sc]e)?
-BSD-4-Clause|all advertising materials mentioning features|all advertising materials mentioning features or use of this software must display the following acknowledge?ment
-BSD-3-Clause|3-clause bsd|3-clause bsd(?: licen[sc]e)?
-BSD-3-Clause|bsd 3-clause|bsd 3-clause(?: "?(?:new|revised)"?)*(?: licen[sc]e)?
-BSD-3-Clause|new bsd license|(?:the )?new bsd licen[sc]e
-BSD-3-Clause|modified bsd license|(?:the )?modified bsd licen[sc]e
-BSD-3-Clause|may be used to endorse or promote products|(?:neither the name of .{1,120}? nor the names of its contributors|the names? of .{1,80}?) may (?:not )?be used to endorse or promote products derived from this software
-BSD-3-Clause|opensource.org/licenses/bsd-3-clause|(?:https?://)?(?:www\.)?opensource\.org/licenses/bsd-3-clause
-BSD-2-Clause|2-clause bsd|2-clause bsd(?: licen[sc]e)?
-BSD-2-Clause|bsd 2-clause|bsd 2-clause(?: "?simplified"?)?(?: licen[sc]e)?
-BSD-2-Clause|simplified bsd license|(?:the )?simplified bsd licen[sc]e
-BSD-2-Clause|freebsd license|(?:the )?freebsd licen[sc]e
-BSD-2-Clause|redistribution and use in source and binary forms|redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
-BSD-2-Clause|opensource.org/licenses/bsd-2-clause|(?:https?://)?(?:www\.)?opensource\.org/licenses/bsd-2-clause
-BSD-1-Clause|1-clause bsd|1-clause bsd(?: licen[sc]e)?
-0BSD|zero-clause bsd|(?:bsd )?zero-clause bsd(?: licen[sc]e)?
-BSD-3-Clause-Clear|clear bsd license|(?:the )?clear bsd licen[sc]e
-BSD-3-Clause|bsd license|(?:the |a )?bsd(?:-style)? licen[sc]e
-ISC|isc license|(?:the )?isc licen[sc]e
-ISC|permission to use, copy, modify, and/or distribute|permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted
-MPL-2.0|mozilla public license|mozilla public licen[sc]e@V2(?:\.0)?
-MPL-1.1|mozilla public license|mozilla public licen[sc]e@V1\.1
-MPL-1.0|mozilla public license|mozilla public licen[sc]e@V1\.0
-MPL-2.0|mozilla.org/mpl/2.0|(?:https?://)?(?:www\.)?mozilla\.org/mpl/2\.0/?
-MPL-2.0|mpl 2.0|\bmpl 2\.0\b
-EPL-2.0|eclipse public license|eclipse public licen[sc]e@V2(?:\.0)?
-EPL-1.0|eclipse public license|eclipse public licen[sc]e@V1(?:\.0)?
-EPL-2.0|eclipse.org/legal/epl-2.0|(?:https?://)?(?:www\.)?eclipse\.org/legal/epl-2\.0/?
-EPL-1.0|eclipse.org/legal/epl-v10|(?:https?://)?(?:www\.)?eclipse\.org/legal/epl-v10(?:\.html)?
-CDDL-1.1|common development and distribution license|common development and distribution licen[sc]e(?: \(cddl\))?@V1\.1
-CDDL-1.0|common development and distribution license|common development and distribution licen[sc]e(?: \(cddl\))?(?:@V1\.0)?
-CPL-1.0|common public license|common public licen[sc]e(?:@V1\.0)?
-IPL-1.0|ibm public license|ibm public licen[sc]e(?:@V1\.0)?
-EUPL-1.2|european union public licence|european union public licen[sc]e@V1\.2
-EUPL-1.1|european union public licence|european union public licen[sc]e@V1\.1
-CECILL-2.1|cecill|cecill free software licen[sc]e agreement@V2\.1
-CECILL-C|cecill-c|\bcecill-c(?: licen[sc]e)?
-CECILL-B|cecill-b|\bcecill-b(?: licen[sc]e)?
-Artistic-2.0|artistic license|(?:the )?artistic licen[sc]e@V2(?:\.0)?
-Artistic-1.0|artistic license|(?:the )?artistic licen[sc]e(?:@V1\.0)?
-Artistic-1.0-Perl|same terms as perl itself|under the same terms as perl itself
-BSL-1.0|boost software license|boost software licen[sc]e(?:@V1\.0)?
-Zlib|zlib license|(?:the )?zlib(?:/libpng)? licen[sc]e
-Zlib|provided 'as-is', without any express|this software is provided 'as-is', without any express or implied warranty
-libpng-2.0|png reference library license|png reference library licen[sc]e@V2
-Unlicense|the unlicense|(?:released |licensed )?(?:into the public domain )?(?:under )?the unlicen[sc]e
-Unlicense|released into the public domain|this is free and unencumbered software released into the public domain
-Unlicense|unlicense.org|(?:https?://)?(?:www\.)?unlicense\.org/?
-WTFPL|do what the fuck you want|do what the fuck you want to public licen[sc]e(?:@V2)?
-WTFPL|wtfpl|\bwtfpl\b
-CC0-1.0|cc0|\bcc0(?:[ -]1\.0)?(?: universal)?(?: public domain dedication)?
-CC0-1.0|creativecommons.org/publicdomain/zero/1.0|(?:https?://)?(?:www\.)?creativecommons\.org/publicdomain/zero/1\.0/?
-PDM-1.0|creativecommons.org/publicdomain/mark/1.0|(?:https?://)?(?:www\.)?creativecommons\.org/publicdomain/mark/1\.0/?
-PostgreSQL|postgresql license|(?:the )?postgresql licen[sc]e
-Python-2.0|python software foundation license|(?:python software foundation|psf) licen[sc]e(?:@V2(?:\.0)?)?
-PHP-3.01|php license|(?:the )?php licen[sc]e@V3\.01
-PHP-3.0|php license|(?:the )?php licen[sc]e(?:@V3\.0)?
-Ruby|ruby license|(?:the )?ruby licen[sc]e
-OpenSSL|openssl license|(?:the )?openssl(?:/ssleay)? licen[sc]e
-OFL-1.1|open font license|(?:sil )?open font licen[sc]e(?:@V1\.1)?
-OFL-1.0|open font license|sil open font licen[sc]e@V1\.0
-NCSA|university of illinois/ncsa|university of illinois/ncsa open source licen[sc]e
-MS-PL|microsoft public license|microsoft public licen[sc]e(?: \(ms-pl\))?
-MS-RL|microsoft reciprocal license|microsoft reciprocal licen[sc]e(?: \(ms-rl\))?
-AFL-3.0|academic free license|academic free licen[sc]e(?:@V3\.0)?
-AFL-2.1|academic free license|academic free licen[sc]e@V2\.1
-OSL-3.0|open software license|open software licen[sc]e@V3\.0
-OSL-2.1|open software license|open software licen[sc]e@V2\.1
-ECL-2.0|educational community license|educational community licen[sc]e(?:@V2\.0)?
-UPL-1.0|universal permissive license|universal permissive licen[sc]e(?:@V1\.0)?
-Vim|vim license|(?:the )?vim licen[sc]e
-W3C|w3c software notice|w3c software notice and licen[sc]e
-JSON|shall be used for good, not evil|the software shall be used for good, not evil
-Beerware|beer-ware license|(?:the )?"?beer-ware licen[sc]e"?
-QPL-1.0|q public license|(?:the )?q public licen[sc]e(?:@V1\.0)?
-SSPL-1.0|server side public license|server side public licen[sc]e(?:@V1)?
-BUSL-1.1|business source license|business source licen[sc]e(?:@V1\.1)?
-Elastic-2.0|elastic license|elastic licen[sc]e@V2(?:\.0)?
-Commons-Clause|commons clause|["']?commons clause["']? licen[sc]e condition(?:@V1\.0)?
-ODbL-1.0|open database license|open (?:data commons )?(?:open )?database licen[sc]e(?:@V1\.0)?
-ODC-By-1.0|open data commons attribution|open data commons attribution licen[sc]e(?:@V1\.0)?
-PDDL-1.0|public domain dedication and license|(?:open data commons )?public domain dedication and licen[sc]e(?:@V1\.0)?
-CDLA-Permissive-2.0|community data license agreement|community data licen[sc]e agreement\W{1,5}permissive@V2\.0
-CDLA-Sharing-1.0|community data license agreement|community data licen[sc]e agreement\W{1,5}sharing@V1\.0
-OpenRAIL|openrail|\b(?:creativeml )?(?:bigscience )?open ?rail(?:\+\+)?(?:-[ms])?(?: licen[sc]e)?
-OGL-UK-3.0|open government licence|open government licen[sc]e@V3\.0
-OGL-UK-2.0|open government licence|open government licen[sc]e@V2\.0
-LPPL-1.3c|latex project public license|latex project public licen[sc]e(?:@V1\.3c?)?
-FTL|freetype project license|(?:the )?freetype (?:project )?licen[sc]e
-IJG|independent jpeg group|this software is based in part on the work of the independent jpeg group
-ICU|icu license|\bicu licen[sc]e
-curl|curl license|\bcurl licen[sc]e
-NTP|ntp license|\bntp licen[sc]e
-Sleepycat|sleepycat license|(?:the )?sleepycat licen[sc]e
-ZPL-2.1|zope public license|zope public licen[sc]e(?:@V2\.1)?
-EFL-2.0|eiffel forum license|eiffel forum licen[sc]e@V2(?:\.0)?
-MulanPSL-2.0|mulan permissive software license|mulan permissive software licen[sc]e@V2
-BlueOak-1.0.0|blue oak model license|blue oak model licen[sc]e(?: 1\.0\.0)?
-Public-Domain|public domain|(?:is|placed|released|dedicated)(?: in| into| to)? the public domain
-All-Rights-Reserved|all rights reserved|all rights reserved
-Proprietary|proprietary and confidential|(?:this (?:file|software|document) is )?proprietary and confidential
-Proprietary|unauthorized copying|unauthorized copying of this (?:file|software), via any medium,? is strictly prohibited
+Apache-2.0|(?:licensed|released|distributed|made available) under the (?:terms of the )?apache (?:software )?licen[sc]e@V2(?:\.0)?
+Apache-2.0|apache (?:software )?licen[sc]e@V2(?:\.0)?
+Apache-2.0|apache-2\.0(?: licen[sc]e)?
+Apache-2.0|(?:https?://)?(?:www\.)?apache\.org/licenses/license-2\.0(?:\.txt|\.html)?
+Apache-1.1|apache software licen[sc]e@V1\.1
+Apache-1.0|apache licen[sc]e@V1\.0
+MIT|(?:licensed|released|distributed|available) under the (?:terms of the )?mit licen[sc]e
+MIT|(?:the )?mit(?:/x11)? licen[sc]e
+MIT|(?:https?://)?(?:www\.)?opensource\.org/licenses/mit(?:-license)?(?:\.php|\.html)?
+MIT|permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+MIT|the software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability
+MIT-0|mit no attribution(?: licen[sc]e)?
+X11|x11 licen[sc]e
+GPL-3.0-or-later|gnu general public licen[sc]e@V3(?:\.0)?,? (?:or (?:\(at your option\) )?any later version|or later)
+GPL-3.0-only|(?:licensed|released|distributed) under the (?:terms of the )?(?:gnu )?general public licen[sc]e@V3(?:\.0)?(?: only)?
+GPL-3.0-only|(?:gnu )?general public licen[sc]e@V3(?:\.0)?
+GPL-3.0-only|\b(?:gnu )?gpl ?-?v?3(?:\.0)?\b
+GPL-2.0-or-later|(?:gnu )?general public licen[sc]e as published by the free software foundation; either version 2 of the licen[sc]e,? or \(at your option\) any later version
+GPL-3.0-or-later|(?:gnu )?general public licen[sc]e as published by the free software foundation,? either version 3 of the licen[sc]e,? or \(at your option\) any later version
+GPL-2.0-or-later|gnu general public licen[sc]e@V2(?:\.0)?,? (?:or (?:\(at your option\) )?any later version|or later)
+GPL-2.0-only|(?:gnu )?general public licen[sc]e@V2(?:\.0)?
+GPL-2.0-only|\b(?:gnu )?gpl ?-?v?2(?:\.0)?\b
+GPL-1.0-only|(?:gnu )?general public licen[sc]e@V1(?:\.0)?
+GPL-1.0-or-later|gnu general public licen[sc]e
+GPL-1.0-or-later|(?:https?://)?(?:www\.)?gnu\.org/licenses/gpl(?:\.html|\.txt)?
+GPL-3.0-only|(?:https?://)?(?:www\.)?gnu\.org/licenses/gpl-3\.0(?:\.[a-z]+)*
+GPL-2.0-only|(?:https?://)?(?:www\.)?gnu\.org/licenses/old-licenses/gpl-2\.0(?:\.[a-z]+)*
+LGPL-3.0-only|(?:gnu )?lesser general public licen[sc]e@V3(?:\.0)?
+LGPL-2.1-or-later|(?:gnu )?lesser general public licen[sc]e@V2\.1,? (?:or (?:\(at your option\) )?any later version|or later)
+LGPL-2.1-only|(?:gnu )?lesser general public licen[sc]e@V2\.1
+LGPL-2.0-only|(?:gnu )?library general public licen[sc]e@V2(?:\.0)?
+LGPL-2.0-or-later|(?:gnu )?library general public licen[sc]e
+LGPL-2.1-or-later|(?:gnu )?lesser general public licen[sc]e
+LGPL-2.1-only|\blgpl ?-?v?2\.1\b
+LGPL-3.0-only|\blgpl ?-?v?3(?:\.0)?\b
+LGPL-2.1-or-later|\blgpl\b
+AGPL-3.0-or-later|(?:gnu )?affero general public licen[sc]e@V3(?:\.0)?,? (?:or (?:\(at your option\) )?any later version|or later)
+AGPL-3.0-only|(?:gnu )?affero general public licen[sc]e@V3(?:\.0)?
+AGPL-3.0-only|(?:gnu )?affero general public licen[sc]e
+AGPL-3.0-only|\bagpl ?-?v?3(?:\.0)?\b
+AGPL-1.0-only|affero general public licen[sc]e@V1(?:\.0)?
+GFDL-1.3-or-later|gnu free documentation licen[sc]e@V1\.3,? or any later version
+GFDL-1.3-only|gnu free documentation licen[sc]e@V1\.3
+GFDL-1.2-only|gnu free documentation licen[sc]e@V1\.2
+GFDL-1.1-or-later|(?:gnu )?free documentation licen[sc]e
+BSD-4-Clause|4-clause bsd(?: licen[sc]e)?
+BSD-4-Clause|all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+BSD-3-Clause|3-clause bsd(?: licen[sc]e)?
+BSD-3-Clause|bsd 3-clause(?: "?(?:new|revised)"?)*(?: licen[sc]e)?
+BSD-3-Clause|(?:the )?new bsd licen[sc]e
+BSD-3-Clause|(?:the )?modified bsd licen[sc]e
+BSD-3-Clause|(?:neither the name of .{1,120}? nor the names of its contributors|the names? of .{1,80}?) may (?:not )?be used to endorse or promote products derived from this software
+BSD-3-Clause|(?:https?://)?(?:www\.)?opensource\.org/licenses/bsd-3-clause
+BSD-2-Clause|2-clause bsd(?: licen[sc]e)?
+BSD-2-Clause|bsd 2-clause(?: "?simplified"?)?(?: licen[sc]e)?
+BSD-2-Clause|(?:the )?simplified bsd licen[sc]e
+BSD-2-Clause|(?:the )?freebsd licen[sc]e
+BSD-2-Clause|redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
+BSD-2-Clause|(?:https?://)?(?:www\.)?opensource\.org/licenses/bsd-2-clause
+BSD-1-Clause|1-clause bsd(?: licen[sc]e)?
+0BSD|(?:bsd )?zero-clause bsd(?: licen[sc]e)?
+BSD-3-Clause-Clear|(?:the )?clear bsd licen[sc]e
+BSD-3-Clause|(?:the |a )?bsd(?:-style)? licen[sc]e
+ISC|(?:the )?isc licen[sc]e
+ISC|permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted
+MPL-2.0|mozilla public licen[sc]e@V2(?:\.0)?
+MPL-1.1|mozilla public licen[sc]e@V1\.1
+MPL-1.0|mozilla public licen[sc]e@V1\.0
+MPL-2.0|(?:https?://)?(?:www\.)?mozilla\.org/mpl/2\.0/?
+MPL-2.0|\bmpl 2\.0\b
+EPL-2.0|eclipse public licen[sc]e@V2(?:\.0)?
+EPL-1.0|eclipse public licen[sc]e@V1(?:\.0)?
+EPL-2.0|(?:https?://)?(?:www\.)?eclipse\.org/legal/epl-2\.0/?
+EPL-1.0|(?:https?://)?(?:www\.)?eclipse\.org/legal/epl-v10(?:\.html)?
+CDDL-1.1|common development and distribution licen[sc]e(?: \(cddl\))?@V1\.1
+CDDL-1.0|common development and distribution licen[sc]e(?: \(cddl\))?(?:@V1\.0)?
+CPL-1.0|common public licen[sc]e(?:@V1\.0)?
+IPL-1.0|ibm public licen[sc]e(?:@V1\.0)?
+EUPL-1.2|european union public licen[sc]e@V1\.2
+EUPL-1.1|european union public licen[sc]e@V1\.1
+CECILL-2.1|cecill free software licen[sc]e agreement@V2\.1
+CECILL-C|\bcecill-c(?: licen[sc]e)?
+CECILL-B|\bcecill-b(?: licen[sc]e)?
+Artistic-2.0|(?:the )?artistic licen[sc]e@V2(?:\.0)?
+Artistic-1.0|(?:the )?artistic licen[sc]e(?:@V1\.0)?
+Artistic-1.0-Perl|under the same terms as perl itself
+BSL-1.0|boost software licen[sc]e(?:@V1\.0)?
+Zlib|(?:the )?zlib(?:/libpng)? licen[sc]e
+Zlib|this software is provided 'as-is', without any express or implied warranty
+libpng-2.0|png reference library licen[sc]e@V2
+Unlicense|(?:released |licensed )?(?:into the public domain )?(?:under )?the unlicen[sc]e
+Unlicense|this is free and unencumbered software released into the public domain
+Unlicense|(?:https?://)?(?:www\.)?unlicense\.org/?
+WTFPL|do what the fuck you want to public licen[sc]e(?:@V2)?
+WTFPL|\bwtfpl\b
+CC0-1.0|\bcc0(?:[ -]1\.0)?(?: universal)?(?: public domain dedication)?
+CC0-1.0|(?:https?://)?(?:www\.)?creativecommons\.org/publicdomain/zero/1\.0/?
+PDM-1.0|(?:https?://)?(?:www\.)?creativecommons\.org/publicdomain/mark/1\.0/?
+PostgreSQL|(?:the )?postgresql licen[sc]e
+Python-2.0|(?:python software foundation|psf) licen[sc]e(?:@V2(?:\.0)?)?
+PHP-3.01|(?:the )?php licen[sc]e@V3\.01
+PHP-3.0|(?:the )?php licen[sc]e(?:@V3\.0)?
+Ruby|(?:the )?ruby licen[sc]e
+OpenSSL|(?:the )?openssl(?:/ssleay)? licen[sc]e
+OFL-1.1|(?:sil )?open font licen[sc]e(?:@V1\.1)?
+OFL-1.0|sil open font licen[sc]e@V1\.0
+NCSA|university of illinois/ncsa open source licen[sc]e
+MS-PL|microsoft public licen[sc]e(?: \(ms-pl\))?
+MS-RL|microsoft reciprocal licen[sc]e(?: \(ms-rl\))?
+AFL-3.0|academic free licen[sc]e(?:@V3\.0)?
+AFL-2.1|academic free licen[sc]e@V2\.1
+OSL-3.0|open software licen[sc]e@V3\.0
+OSL-2.1|open software licen[sc]e@V2\.1
+ECL-2.0|educational community licen[sc]e(?:@V2\.0)?
+UPL-1.0|universal permissive licen[sc]e(?:@V1\.0)?
+Vim|(?:the )?vim licen[sc]e
+W3C|w3c software notice and licen[sc]e
+JSON|the software shall be used for good, not evil
+Beerware|(?:the )?"?beer-ware licen[sc]e"?
+QPL-1.0|(?:the )?q public licen[sc]e(?:@V1\.0)?
+SSPL-1.0|server side public licen[sc]e(?:@V1)?
+BUSL-1.1|business source licen[sc]e(?:@V1\.1)?
+Elastic-2.0|elastic licen[sc]e@V2(?:\.0)?
+Commons-Clause|["']?commons clause["']? licen[sc]e condition(?:@V1\.0)?
+ODbL-1.0|open (?:data commons )?(?:open )?database licen[sc]e(?:@V1\.0)?
+ODC-By-1.0|open data commons attribution licen[sc]e(?:@V1\.0)?
+PDDL-1.0|(?:open data commons )?public domain dedication and licen[sc]e(?:@V1\.0)?
+CDLA-Permissive-2.0|community data licen[sc]e agreement\W{1,5}permissive@V2\.0
+CDLA-Sharing-1.0|community data licen[sc]e agreement\W{1,5}sharing@V1\.0
+OpenRAIL|\b(?:creativeml )?(?:bigscience )?open ?rail(?:\+\+)?(?:-[ms])?(?: licen[sc]e)?
+OGL-UK-3.0|open government licen[sc]e@V3\.0
+OGL-UK-2.0|open government licen[sc]e@V2\.0
+LPPL-1.3c|latex project public licen[sc]e(?:@V1\.3c?)?
+FTL|(?:the )?freetype (?:project )?licen[sc]e
+IJG|this software is based in part on the work of the independent jpeg group
+ICU|\bicu licen[sc]e
+curl|\bcurl licen[sc]e
+NTP|\bntp licen[sc]e
+Sleepycat|(?:the )?sleepycat licen[sc]e
+ZPL-2.1|zope public licen[sc]e(?:@V2\.1)?
+EFL-2.0|eiffel forum licen[sc]e@V2(?:\.0)?
+MulanPSL-2.0|mulan permissive software licen[sc]e@V2
+BlueOak-1.0.0|blue oak model licen[sc]e(?: 1\.0\.0)?
+Public-Domain|(?:is|placed|released|dedicated)(?: in| into| to)? the public domain
+All-Rights-Reserved|all rights reserved
+Proprietary|(?:this (?:file|software|document) is )?proprietary and confidential
+Proprietary|unauthorized copying of this (?:file|software), via any medium,? is strictly prohibited
 """
 
 #: Creative Commons, by version: each element combination has a name, a code and an address.
 _CC = r"""
-CC-BY-NC-ND|attribution[- ]non-?commercial[- ]no ?deriv(?:ative)?s?|by-nc-nd|commercial
-CC-BY-NC-SA|attribution[- ]non-?commercial[- ]share[- ]?alike|by-nc-sa|commercial
-CC-BY-NC|attribution[- ]non-?commercial|by-nc|commercial
-CC-BY-ND|attribution[- ]no ?deriv(?:ative)?s?|by-nd|attribution
-CC-BY-SA|attribution[- ]share[- ]?alike|by-sa|attribution
-CC-BY|attribution|by|attribution
+CC-BY-NC-ND|attribution[- ]non-?commercial[- ]no ?deriv(?:ative)?s?|by-nc-nd
+CC-BY-NC-SA|attribution[- ]non-?commercial[- ]share[- ]?alike|by-nc-sa
+CC-BY-NC|attribution[- ]non-?commercial|by-nc
+CC-BY-ND|attribution[- ]no ?deriv(?:ative)?s?|by-nd
+CC-BY-SA|attribution[- ]share[- ]?alike|by-sa
+CC-BY|attribution|by
 """
 
 _SPDX = (
@@ -180,25 +190,90 @@ _SPDX = (
 ).split()
 
 
-def rules() -> list[tuple[str, str, int, str, str]]:
-    """All rules. Priorities: SPDX tags 100, addresses 90, Creative Commons 70, names and phrases 60 (in their order), general ones 20."""
-    import re
+def _least(words: Iterable[str]) -> frozenset[str]:
+    """The words that contain no other one: who contains any of ``words`` contains one of these."""
+    words = set(words)
+    return frozenset(w for w in words if not any(x != w and x in w for x in words))
+
+
+def _spellings(node: tuple) -> set[str] | None:
+    """All texts that a part of a pattern matches, in lower case, or None if they are too many."""
+    op, arg = node
+    if op is C.LITERAL:
+        return {chr(arg).lower()}
+    if op is C.AT:
+        return {""}
+    if op is C.IN and all(k is C.LITERAL for k, _ in arg):
+        return {chr(c).lower() for _, c in arg}
+    if op is C.SUBPATTERN:
+        return _product(arg[3])
+    if op is C.BRANCH:
+        found = [_product(x) for x in arg[1]]
+        return None if None in found or len(set().union(*found)) > SPELLINGS else set().union(*found)
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[1] == 1:
+        found = _product(arg[2])
+        return found if found is None or arg[0] else found | {""}
+    return None
+
+
+def _product(parts: Iterable[tuple]) -> set[str] | None:
+    out = {""}
+    for node in parts:
+        found = _spellings(node)
+        if found is None or len(out) * len(found) > SPELLINGS:
+            return None
+        out = {a + b for a, b in itertools.product(out, found)}
+    return out
 
+
+def _required(parts: Iterable[tuple]) -> frozenset[str]:
+    """Words of which every text that the parts match contains one; the set whose shortest word is longest. Empty if there is none."""
+    stretches: list[Iterable[str]] = [{""}]
+    for node in parts:
+        op, arg = node
+        found = _spellings(node)
+        if found is not None:
+            joined = {a + b for a, b in itertools.product(stretches[-1], found)}
+            if len(joined) <= SPELLINGS:
+                stretches[-1] = joined
+            else:
+                stretches.append(found)
+            continue
+        if op is C.SUBPATTERN:
+            stretches.append(_required(arg[3]))
+        elif op is C.BRANCH:
+            each = [_required(x) for x in arg[1]]
+            stretches.append(frozenset().union(*each) if all(each) else ())
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0]:
+            stretches.append(_required(arg[2]))
+        stretches.append({""})
+    sets = [_least(s) for s in stretches if s and "" not in s]
+    return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=frozenset())
+
+
+def keywords(pattern: str) -> tuple[str, ...]:
+    found = _required(_parser.parse(pattern))
+    if not found:
+        raise ValueError(f"no keyword in every match of {pattern}")
+    return tuple(sorted(found))
+
+
+def rules() -> list[tuple[str, str, int, tuple[str, ...], str]]:
+    """All rules. Priorities: SPDX tags 100, addresses 90, Creative Commons 70, names and phrases 60 (in their order), general ones 20."""
     out = []
     for i in _SPDX:
-        out.append((f"tag:{i}", i, 100, "spdx-license-identifier", rf"spdx-license-identifier: ?{re.escape(i)}(?![\w.+-])"))
+        out.append((f"tag:{i}", i, 100, rf"spdx-license-identifier: ?{re.escape(i)}(?![\w.+-])"))
     seen: dict[str, int] = {}
     for line in _NAMES.strip().split("\n"):
-        name, keyword, pattern = line.split("|", 2)
+        name, pattern = line.split("|", 1)
         seen[name] = seen.get(name, 0) + 1
         priority = 90 if "http" in pattern else 20 if name in ("Public-Domain", "All-Rights-Reserved", "Proprietary") else 60
-        # a keyword that a pattern's optional spelling would miss is cut to what all matches share
-        out.append((f"name:{name}:{seen[name]}", name, priority, re.sub(r"licen[sc]e\b", "licen", keyword), pattern.replace("@V", _V)))
+        out.append((f"name:{name}:{seen[name]}", name, priority, pattern.replace("@V", _V)))
     for line in _CC.strip().split("\n"):
-        name, words, code, keyword = line.split("|")
+        name, words, code = line.split("|")
         for v in ("4.0", "3.0", "2.5", "2.0", "1.0"):
             e = re.escape(v)
-            out.append((f"cc-url:{name}-{v}", f"{name}-{v}", 90, "creativecommons.org/licenses/", rf"(?:https?://)?(?:www\.)?creativecommons\.org/licenses/{code}/{e}/?"))
-            out.append((f"cc-code:{name}-{v}", f"{name}-{v}", 70, "cc", rf"\bcc[ -]{code}[ -]?v?{e}"))
-            out.append((f"cc-name:{name}-{v}", f"{name}-{v}", 70, keyword, rf"(?:creative commons )?{words}(?: licen[sc]e)? (?:licen[sc]e,? )?(?:version )?{e}(?: international| unported| generic)?(?: licen[sc]e)?"))
-    return out
+            out.append((f"cc-url:{name}-{v}", f"{name}-{v}", 90, rf"(?:https?://)?(?:www\.)?creativecommons\.org/licenses/{code}/{e}/?"))
+            out.append((f"cc-code:{name}-{v}", f"{name}-{v}", 70, rf"\bcc[ -]{code}[ -]?v?{e}"))
+            out.append((f"cc-name:{name}-{v}", f"{name}-{v}", 70, rf"(?:creative commons )?{words}(?: licen[sc]e)? (?:licen[sc]e,? )?(?:version )?{e}(?: international| unported| generic)?(?: licen[sc]e)?"))
+    return [(rule, name, priority, keywords(pattern), pattern) for rule, name, priority, pattern in out]

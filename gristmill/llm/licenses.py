@@ -1,7 +1,7 @@
 """Operator 4. License scan: ordered signature rules behind a keyword prefilter.
 
 Every text is searched once for the keywords of all rules (an Aho-Corasick automaton over the lower-cased text with white space
-made single). Only rules whose keyword occurs run their regex, over the whole text. Overlaps are resolved by priority: detections are
+made single). Only rules of which a keyword occurs run their regex, over the whole text. Overlaps are resolved by priority: detections are
 taken by priority, then length, then rule order, and one whose interval lies within a detection taken before is
 suppressed; detections that overlap in part stay both. No exchange: each document is decided in its own task.
 
@@ -23,16 +23,19 @@ from gristmill.llm.license_rules import rules
 
 SCHEMA = "doc_id bigint, license string, rule string, priority int, start int, stop int, matched string"
 _SPACE = re.compile(r"\s+")
+#: Letters that a case-insensitive pattern takes for ASCII ones and lower() leaves or makes longer.
+_ALIKE = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"))
 
 
 class Scanner:
-    def __init__(self, table: list[tuple[str, str, int, str, str]]):
+    def __init__(self, table: list[tuple[str, str, int, tuple[str, ...], str]]):
         import ahocorasick
 
         self.rules = [(r, lic, p, k, re.compile(x, re.IGNORECASE)) for r, lic, p, k, x in table]
         by_word: dict[str, list[int]] = {}
         for i, r in enumerate(self.rules):
-            by_word.setdefault(r[3], []).append(i)
+            for k in r[3]:
+                by_word.setdefault(k, []).append(i)
         self.automaton = ahocorasick.Automaton()
         for k, v in by_word.items():
             self.automaton.add_word(k, v)
@@ -41,9 +44,11 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[str, str, int, int, int]]:
         """(license, rule, priority, start, stop) of the detections that stay, by start; offsets in ``text``."""
         flat = _SPACE.sub(" ", text) if _wide(text) else text.replace("\n", " ")
-        low = flat.lower()
-        if len(low) != len(flat):  # letters whose lower case is longer: case by case, to keep the offsets
-            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in flat)
+        low = flat
+        if not flat.isascii():
+            for c, plain in _ALIKE:
+                low = low.replace(c, plain)
+        low = low.lower()
         gated = sorted({i for _, v in self.automaton.iter(low) for i in v})
         hits = []
         for i in gated:
