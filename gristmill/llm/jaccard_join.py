@@ -18,13 +18,14 @@ with |r| <= |s| <= |r| / t the symmetric difference is at most H = (1-t)/t * |r|
   checked.
 
 Signatures travel as packed blocks (task and partition wise), not as rows. Sets that are equal (in size and
-a 64-bit sum) are joined to their least document only, so that copies cost one row each; distinct sets are verified on
+a 64-bit sum) are candidates by their least document only, so that copies cost one row each (``similar_pairs`` returns them so,
+``all_similar_pairs`` expands each set to its documents after verification); distinct sets are verified on
 the words themselves, where a document's text travels once for each block of its component, not once for each pair.
 Candidate keys are hashes: a collision makes a false candidate, which verification drops.
 
 Defined cases: NULL and empty texts have no grams and join nothing; a text of fewer than n words has one gram; a pair of
 documents of equal sets has similarity 1; rows that share a doc_id are documents of their own, and pairs with
-one id on both sides are left out of ``similar_pairs``; other columns take no part.
+one id on both sides are left out of the results; other columns take no part.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ FLUSH = 1 << 20
 CANDIDATE_COST = 0.1
 #: Documents of a component that are verified side by side; larger components go in pairs of such blocks.
 VERIFY_BLOCK = 512
+#: Documents of a set whose pairs with all of the set one task makes.
+EXPAND_BLOCK = 256
 _SPLIT = re.compile("[\x00-\x20]+")
 _48 = U((1 << 48) - 1)
 
@@ -409,8 +412,9 @@ def _verified(near: DataFrame, slim: DataFrame, n: int, threshold: float) -> Dat
     return found.select("a", "b", F.expr("overlap * 1000000 div total").alias("millionths"))
 
 
-def _pairs(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) over the rids of ``keyed`` (row, rid), a < b; jaccard in millionths, rounded down."""
+def _twins_and_near(keyed: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Over the rids of ``keyed`` (row, rid): (a, b) of each set's least document and each further one, and (a, b, millionths)
+    of the least documents of distinct sets, a < b; the similarity in millionths, rounded down."""
     slim = keyed.select("rid", F.col("row").getField("text").alias("text"))
     size, rows = text_bytes(slim)
     plan = Plan(threshold, rows)
@@ -419,16 +423,49 @@ def _pairs(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
     found = blocks.groupBy("part").applyInArrow(_candidates(threshold), "a bigint, b bigint, same boolean")
     # copies are reported by every partition, so a copy's least leader over all of them is its own
     found = written(found.distinct(), "candidates")
-    twins = found.filter("same").select("a", "b", F.lit(1_000_000).cast("bigint").alias("millionths"))
-    near = found.filter("NOT same").select("a", "b")
-    return twins.unionByName(_verified(near, slim, n, threshold))
+    return found.filter("same").select("a", "b"), _verified(found.filter("NOT same").select("a", "b"), slim, n, threshold)
+
+
+def _pairs(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, millionths) over rids, a < b: distinct sets by their least documents, and each further document with its set's least."""
+    twins, near = _twins_and_near(keyed, n, threshold)
+    return twins.withColumn("millionths", F.lit(1_000_000).cast("bigint")).unionByName(near)
+
+
+def _all_pairs(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, millionths) over rids, a < b, of every two documents that reach the threshold."""
+    twins, near = _twins_and_near(keyed, n, threshold)
+    near = written(near, "near-sets")
+    # every document of a set that has several, by the set's least one, with its number in the set
+    member = twins.select(F.col("a").alias("lead"), F.col("b").alias("rid")).union(twins.select("a", "a").distinct())
+    member = member.withColumn("i", F.row_number().over(Window.partitionBy("lead").orderBy("rid")) - 1)
+    member = written(member.withColumn("blocks", F.expr(f"(max(i) OVER (PARTITION BY lead)) div {EXPAND_BLOCK} + 1")), "members")
+    # the pairs of a large set are made by many tasks: each block of its members meets all of them
+    left = member.select("lead", F.expr(f"i div {EXPAND_BLOCK}").alias("block"), F.col("rid").alias("a"))
+    right = member.select("lead", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.col("rid").alias("b"))
+    equal = left.join(right, ["lead", "block"]).filter("a < b").select("a", "b", F.lit(1_000_000).cast("bigint").alias("millionths"))
+    for side in ("a", "b"):
+        copies = member.select(F.col("lead").alias(side), F.col("rid").alias(f"{side}_rid"))
+        near = near.join(copies, side, "left").withColumn(side, F.coalesce(f"{side}_rid", side)).drop(f"{side}_rid")
+    return equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "millionths"))
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, millionths): every pair of distinct gram sets that reaches the threshold, by the least document of
     each set, and each further document of a set with that least document. ``millionths`` is the similarity."""
     keyed, kind = with_row_id(docs)
-    pairs = _pairs(keyed, n, threshold)
+    return _named(_pairs(keyed, n, threshold), keyed, kind)
+
+
+def all_similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, millionths): every pair of documents that reaches the threshold, copies of one set with each other and with all
+    near partners of the set included. The result grows with the square of a group of copies."""
+    keyed, kind = with_row_id(docs)
+    return _named(_all_pairs(keyed, n, threshold), keyed, kind)
+
+
+def _named(pairs: DataFrame, keyed: DataFrame, kind: str) -> DataFrame:
+    """``pairs`` of rids with the documents' ids."""
     if kind == "clean":
         return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "millionths")
     ids = keyed.select("rid", F.col("row").getField("doc_id").alias("d"))

@@ -44,6 +44,17 @@ _SETS = """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text
     FROM s a JOIN s b ON a.doc_id < b.doc_id AND len(a.g) >= 0.8 * len(b.g) AND len(b.g) >= 0.8 * len(a.g))"""
 
 
+@query(
+    "op5_all_pairs",
+    """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[^\\x00-\\x20]+')) AS g FROM documents),
+         p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.g, b.g)) AS o, len(a.g) AS x, len(b.g) AS y FROM w a JOIN w b
+           ON a.doc_id < b.doc_id AND len(a.g) > 0 AND len(b.g) > 0 AND len(a.g) >= 0.8 * len(b.g) AND len(b.g) >= 0.8 * len(a.g))
+       SELECT a AS doc_a, b AS doc_b, CAST(o * 1000000 // (x + y - o) AS BIGINT) AS millionths FROM p WHERE o * 10 >= 8 * (x + y - o)""",
+)
+def op5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.all_similar_pairs(read(spark, sf_dir, "documents"))
+
+
 @query(
     "op5_ngram_jaccard_join",
     _SETS

@@ -103,6 +103,41 @@ def test_jaccard_join(spark, n, t):
     assert got == brute_pairs(rows, n, t)
 
 
+def brute_document_pairs(rows, n, t):
+    """Over documents, not over distinct sets."""
+    sets = []
+    for i, text in rows:
+        w = words((text or "").lower())
+        if w:
+            sets.append((i, frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1)))))
+    out = set()
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        both, union = len(a & b), len(a | b)
+        if both >= t * union - 1e-9 and i != j:
+            lo, hi = sorted((i, j), key=lambda x: (x is None, x or 0))
+            out.add((lo, hi, both * 1_000_000 // union))
+    return out
+
+
+@pytest.mark.parametrize("n,t,block", [(1, 0.8, 256), (1, 0.8, 3), (2, 0.7, 256)])
+def test_jaccard_join_returns_every_pair_of_documents(spark, docs, none, monkeypatch, n, t, block):
+    """Copies with each other and with every near partner: A' < A equal and B near both gives (A, B) too."""
+    monkeypatch.setattr(jaccard_join, "EXPAND_BLOCK", block)
+    rng = random.Random(n)
+    base = [prose(rng, k, 2000) for k in (1, 3, 20, 60, 200)]
+    texts = [None, "", *base, *[b + " tail" for b in base[2:]], *base * 3, *[b + " tail" for b in base[3:]] * 4, base[4] + " other tail", prose(rng, 30)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute_document_pairs(rows, n, t)
+    got = jaccard_join.all_similar_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, t).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    leaders = brute_pairs(rows, n, t)
+    assert len(leaders) < len(want) and leaders <= {(a, b) for a, b, _ in want}
+    # repeated rows, NULL ids and ids that two documents share
+    assert set(map(tuple, jaccard_join.all_similar_pairs(docs, n, t).collect())) == brute_document_pairs([r[:2] for r in awkward()], n, t)
+    assert jaccard_join.all_similar_pairs(none, n, t).count() == 0
+
+
 @pytest.mark.parametrize("rows", [1, 1 << 40])
 def test_every_allocation_finds_every_pair(rows):
     """Signatures alone, for cheap and for dear candidates: similar sets share one, one of them of a whole subset."""
