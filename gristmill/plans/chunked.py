@@ -42,7 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
 def adaptive_aggregate(df: DataFrame, spec: AggSpec, position: Column, total: int, policy: Callable[[int, int, int], int], workers: int = 1, run: Run | None = None) -> DataFrame:
     """policy(chunks done, elapsed ms, workers) -> workers wanted; asked before each chunk after the first, until it grows once.
 
-    position: a bigint column in [0, total) that divides the rows; a filter on it is pushed to the scan where it is a column.
+    position: a bigint column, [0, total) for the most part, that divides the rows; a filter on it is pushed to the scan where it is a
+    column. Rows with a NULL position or one below 0 are of the first chunk, those from total on of the last.
     """
     run = run if run is not None else Run()
     path = f"{shared_folder(df.sparkSession)}/states-{uuid.uuid4().hex}"
@@ -54,7 +55,9 @@ def adaptive_aggregate(df: DataFrame, spec: AggSpec, position: Column, total: in
             step = -(-(total - at) // workers)
         end = min(at + step, total)
         # states of a chunk: keys repeat between chunks, and the merge brings them together
-        partial(df.filter((position >= at) & (position < end)), spec).write.mode("append").parquet(path)
+        below = F.lit(True) if end == total else position < end
+        inside = below | position.isNull() if at == 0 else below & (position >= at)
+        partial(df.filter(inside), spec).write.mode("append").parquet(path)
         run.ranges.append((at, end, workers))
         run.elapsed_ms.append(elapsed)
         at, done = end, done + 1

@@ -50,6 +50,18 @@ def test_chunked_result_is_the_same_for_every_policy(spark):
         assert all(a[1] == b[0] for a, b in zip(run.ranges, run.ranges[1:]))
 
 
+def test_chunks_leave_no_row_out(spark):
+    """NULL positions and positions outside [0, total) are counted, once."""
+    df = spark.createDataFrame([(i % 3, p) for i, p in enumerate([None, None, -7, -1, 0, 5, 99, 100, 101, 10**12, None])], "c0 int, p long")
+    want = sorted(group_aggregate(df, AggSpec(["c0"])).collect())
+    for total in (1, 100):
+        for policy in (chunked.after_chunks(99, 1), chunked.after_chunks(7, 4)):
+            assert sorted(chunked.adaptive_aggregate(df, AggSpec(["c0"]), F.col("p"), total, policy).collect()) == want
+    keyed = spark.createDataFrame([(1, 4), (1, None), (2, None)], "c0 int, k long")
+    got = chunked.adaptive_aggregate(keyed, AggSpec(["c0"]), chunked.position_of(keyed, "k"), 1_000_000, chunked.after_chunks(7, 4))
+    assert sorted(got.collect()) == sorted(group_aggregate(keyed, AggSpec(["c0"])).collect())
+
+
 def test_fit_without_variance(spark):
     r = scaleout.fit(spark.createDataFrame([(1.0, 2.0), (1.0, 4.0)], "x double, y double"), F.col("x"), F.col("y")).first()
     assert (r.a, r.b) == (3.0, 0.0)
