@@ -1,7 +1,8 @@
 """Vectorised word hashing: Arrow text columns to 64-bit word and word-n-gram hashes, without a Python loop over words.
 
-Words are maximal runs of bytes above 0x20 of the lower-cased text. A word's hash is a polynomial over its bytes modulo
-2^64, taken from prefix sums over a chunk of texts, and then mixed.
+Words are maximal runs of bytes above 0x20 of the lower-cased text. A word's hash is a chain of mixing steps over its length and its
+blocks of 8 bytes, each step a bijection of the block, so that words of up to 8 bytes never share one with a word of their length;
+words of more than ``LONG`` bytes go to xxhash one by one. Hashes find candidates; who must be exact compares the bytes.
 """
 
 from __future__ import annotations
@@ -11,32 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 20
-_B = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_B, -1, 1 << 64)
+#: Bytes of the longest word that is hashed in numpy.
+LONG = 64
 U = np.uint64
-
-
-class _Cache(dict):
-    """A dict that pickles as an empty one."""
-
-    def __reduce__(self):
-        return dict, ()
-
-
-_powers = _Cache()
-
-
-def _power(base: int, n: int, name: str) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        x = np.full(max(n, CHUNK_BYTES), base, dtype=U)
-        x[0] = 1
-        have = np.cumprod(x, dtype=U)
-        if n <= 4 * CHUNK_BYTES:
-            _powers[name] = have
-    return have
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -69,7 +51,26 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte range of ``data``."""
+    size = end - start
+    raw = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))
+    h = mix(size.astype(U) ^ U(seed * 0xD1B54A32D192ED03 % (1 << 64)))
+    h = mix(h ^ (eight[start] & _KEEP[np.minimum(size, 8)]))
+    at = np.flatnonzero((size > 8) & (size <= LONG))
+    for i in range(8, LONG, 8):
+        if not len(at):
+            break
+        # the multiplication keeps equal blocks in succession from undoing each other
+        h[at] = mix(h[at] * U(0x9FB21C651E98DF25) ^ (eight[start[at] + i] & _KEEP[np.minimum(size[at] - i, 8)]))
+        at = at[size[at] > i + 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return h
+
+
+def words(texts: pa.Array, lower: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text, byte start of each word, byte end), start and end within the text."""
     data, off = _bytes(pc.utf8_lower(texts) if lower else texts)
     n = len(data)
@@ -87,12 +88,10 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     nxt[-1] = False
     nxt[:-1] = is_word[1:]
     end = np.flatnonzero(is_word & (~nxt | first[1:])) + 1
-    pre = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * _power(_B, n, "b")[:n], out=pre[1:], dtype=U)
-    h = (pre[end] - pre[start]) * _power(_INV, n, "i")[start]
+    h = hashed(data, start, end, seed)
     bounds = np.searchsorted(start, off)
     owner = np.repeat(off[:-1], np.diff(bounds))
-    return mix(h), bounds, start - owner, end - owner
+    return h, bounds, start - owner, end - owner
 
 
 def ngrams(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

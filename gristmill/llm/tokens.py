@@ -1,8 +1,9 @@
 """Byte-level BPE over Arrow text columns, each distinct word encoded once.
 
 A unit is a run of white space with the word behind it. No pre-token of the pattern crosses from a word into the white space
-after it, so a text's ids are those of its units, one behind the other; units are found and deduplicated by hash in numpy and only
-new ones go to the tokenizer. Units and the tokenizer are kept by the worker process from task to task.
+after it, so a text's ids are those of its units, one behind the other. Units are found in numpy and deduplicated by their bytes (Arrow's
+dictionary encoding: no hash decides), and only new ones go to the tokenizer. Units and the tokenizer are kept by the worker process
+from task to task.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import types
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from gristmill.llm.grams import _B, _INV, U, _bytes, _power, chunks, mix
+from gristmill.llm.grams import _bytes, chunks
 
 PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,14 +36,14 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, units: list[str], hashes: list[int]) -> None:
-        for u, h in zip(units, hashes):
-            ids = self.bpe.encode_ordinary(u)
+    def _learn(self, units: list[bytes]) -> None:
+        for u in units:
+            ids = self.bpe.encode_ordinary(u.decode())
             i = len(self.known)
             if i + 1 >= len(self.ends):
                 self.ends = np.append(self.ends, np.zeros_like(self.ends))
@@ -48,7 +51,7 @@ class Encoder:
                 self.flat = np.append(self.flat, np.zeros_like(self.flat))
             self.flat[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-            self.known[h] = i
+            self.known[u] = i
             self.ends[i + 1] = self.used
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,11 +64,21 @@ class Encoder:
         n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum(n)])
 
-    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text; 0 for a NULL one."""
+        found = []
+        for a, z in chunks(texts):
+            start, off, unit = self._units(texts.slice(a, z - a))
+            total = np.concatenate([[0], np.cumsum(self.ends[unit + 1] - self.ends[unit])])
+            found.append(np.diff(total[np.searchsorted(start, off)]))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def _units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(byte at which each unit begins, byte at which each text begins, number of each unit among the known ones)."""
         data, off = _bytes(texts)
         n = len(data)
         if not n:
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.int64), off, np.zeros(0, np.int64)
         # a unit begins where an ASCII white space follows a word; one that follows any other white space stays in its unit
         space = (data == 32) | ((data >= 9) & (data <= 13))
         begin = np.zeros(n, bool)
@@ -76,19 +89,19 @@ class Encoder:
             begin[2] &= not (data[0] == 0xC2)
         begin[off[:-1][off[:-1] < n]] = True
         start = np.flatnonzero(begin)
-        end = np.append(start[1:], n)
-        pre = np.zeros(n + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * _power(_B, n, "b")[:n], out=pre[1:], dtype=U)
-        h = mix((pre[end] - pre[start]) * _power(_INV, n, "i")[start])
-        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        offsets = np.append(start, n)
+        units = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        distinct = units.dictionary.to_pylist()
         if len(self.known) + len(distinct) > UNITS:
             self._reset()
-        hashes = distinct.tolist()
-        new = [i for i, x in enumerate(hashes) if x not in self.known]
-        raw = data.tobytes()
-        at = first[new]
-        self._learn([raw[s:e].decode() for s, e in zip(start[at].tolist(), end[at].tolist())], [hashes[i] for i in new])
-        unit = np.fromiter(map(self.known.__getitem__, hashes), np.int64, len(hashes))[which]
+        self._learn([u for u in distinct if u not in self.known])
+        unit = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[units.indices.to_numpy()]
+        return start, off, unit
+
+    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        start, off, unit = self._units(texts)
+        if not len(unit):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         size = self.ends[unit + 1] - self.ends[unit]
         total = np.cumsum(size)
         out = self.flat[np.repeat(self.ends[unit] - (total - size), size) + np.arange(total[-1])]
@@ -103,3 +116,13 @@ def encoder(path: str) -> Encoder:
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
+
+
+def token_count(text: Column, path: str = PATH) -> Column:
+    """The number of the tokenizer's ids of a text; 0 for a NULL or empty one."""
+
+    @F.arrow_udf("bigint")
+    def run(t: pa.Array) -> pa.Array:
+        return pa.array(encoder(path).counts(t), pa.int64())
+
+    return run(text)
