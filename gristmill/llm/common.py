@@ -1,33 +1,52 @@
-"""Shared pieces of the corpus operators: the shared folder, written intermediate tables, row identity, size-checked broadcasts."""
+"""Shared pieces of the corpus operators: the shared folder, written intermediate tables, row identity, joins by row number.
+
+Ids (``doc_id``, ``conv_id``, ``page_id``) are integers: they are cast to bigint, and a text that is no number raises.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only while its estimated size is below this; beyond it the join shuffles.
-BROADCAST_BYTES = 32 << 20
-
-_written: list[tuple[SparkSession, str]] = []
+#: 64-bit words of the bitmap that sieves rows before a join: a fixed size, whatever the input.
+SIEVE_WORDS = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Unset on a local master (tests) only, a temporary folder is set."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Without it operators raise."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="gristmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
 
 
+class Scratch:
+    """The tables of one run. Nothing is deleted but by its owner, and only what was written within ``with``."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scratch._open.remove(self)
+
+    def release(self) -> None:
+        """Delete the tables: for a caller that has written the results that read them."""
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    if Scratch._open:
+        Scratch._open[-1].paths.append(path)
     return path
 
 
@@ -45,20 +64,41 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_scratch() -> None:
-    """Delete the tables that earlier operator calls left. Only for callers that have already written those calls' results."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            remove(spark, path)
-        except Exception:  # a stopped session, or a folder that is gone already
-            pass
+def _sieve(ids: DataFrame, *key: str) -> DataFrame:
+    """(_word, _bits): a bitmap of the hashes of ``ids``, at most SIEVE_WORDS rows."""
+    word = ids.select(_word(key).alias("_word"), F.expr(f"shiftleft(1L, {_bit(key)})").alias("_bit"))
+    return word.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def _word(key: tuple[str, ...]) -> Column:
+    return F.expr(f"pmod(xxhash64({', '.join(key)}), {SIEVE_WORDS}L)")
+
+
+def _bit(key: tuple[str, ...]) -> str:
+    return f"cast(pmod(xxhash64({', '.join(key)}, 1), 64L) as int)"
+
+
+def _sieved(big: DataFrame, ids: DataFrame, key: tuple[str, ...], how: str) -> DataFrame:
+    """``big`` with _hit: false where the bitmap proves that a row's key is not among ``ids``."""
+    d = big.withColumn("_word", _word(key)).join(F.broadcast(_sieve(ids, *key)), "_word", how)
+    return d.withColumn("_hit", F.expr(f"coalesce(shiftright(_bits, {_bit(key)}) & 1L, 0L) = 1L")).drop("_word", "_bits")
+
+
+def likely_rows(big: DataFrame, ids: DataFrame, *key: str) -> DataFrame:
+    """The rows of ``big`` that a bitmap of fixed size can't rule out of ``ids``, without an exchange: all that have their key there, and some others."""
+    return _sieved(big, ids, key, "inner").filter("_hit").drop("_hit")
+
+
+def join_rows(big: DataFrame, ids: DataFrame, *key: str) -> DataFrame:
+    """Inner join on ``key``. A bitmap of fixed size is broadcast first, so that of ``big`` only the rows that it can't rule out are
+    exchanged: one plan at every size, and one exchange of the rows that are wanted."""
+    return likely_rows(big, ids, *key).join(ids.hint("shuffle_hash"), list(key))
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """Join with a broadcast while ``small`` is measured to be small, else with a shuffled hash join that never sorts ``big``."""
-    rows = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if rows * row_bytes <= BROADCAST_BYTES else small.hint("shuffle_hash"), on, how)
+def drop_rows(big: DataFrame, ids: DataFrame, *key: str) -> DataFrame:
+    """Anti join on ``key``. The rows that a bitmap of fixed size proves to stay never leave their task."""
+    d = _sieved(big, ids, key, "left")
+    return d.filter("NOT _hit").select(*big.columns).unionByName(d.filter("_hit").drop("_hit").join(ids.hint("shuffle_hash"), list(key), "left_anti").select(*big.columns))
 
 
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
