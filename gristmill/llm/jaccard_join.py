@@ -17,11 +17,13 @@ with |r| <= |s| <= |r| / t the symmetric difference is at most H = (1-t)/t * |r|
 * Cost-based allocation: for each band v, q and m are chosen by an estimate of signatures written plus candidates
   checked.
 
-Signatures travel as packed blocks (task and partition wise), not as rows. Sets that are equal (in size and
-a 64-bit sum) are candidates by their least document only, so that copies cost one row each (``similar_pairs`` returns them so,
-``all_similar_pairs`` expands each set to its documents after verification); distinct sets are verified on
-the words themselves, where a document's text travels once for each block of its component, not once for each pair.
-Candidate keys are hashes: a collision makes a false candidate, which verification drops.
+Signatures travel as packed blocks (task and partition wise), not as rows. A band has a range of the partitions in proportion to its
+text, so that a set meets only the partitions of its own two bands; of a key 32 bits travel, those that the partition doesn't
+tell. Sets that are equal in size and a 64-bit sum are candidates by their least document only, so that copies cost one row
+each (``similar_pairs`` returns them so, ``all_similar_pairs`` expands each set to its documents after verification). Every pair,
+those of copies too, is verified on the words themselves, by blocks of about ``VERIFY_BYTES`` of text; should two different sets share
+size and sum, the join is done again with another hash. Candidate keys are hashes: a collision makes a false candidate, which
+verification drops.
 
 Defined cases: NULL and empty texts have no grams and join nothing; a text of fewer than n words has one gram; a pair of
 documents of equal sets has similarity 1; rows that share a doc_id are documents of their own, and pairs with
@@ -40,20 +42,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import BROADCAST_BYTES, text_bytes, unpacked, with_row_id, written
+from gristmill.llm.common import drop_rows, join_rows, unpacked, with_row_id, written
 from gristmill.llm.grams import U, chunks, mix, ngrams, planes, unplanes, words
 
-N = 1
-THRESHOLD = 0.8
+N = 2
+THRESHOLD = 0.7
 ROUNDS = 3
-#: Bytes of text whose signatures a reducer gets, about, and the least number of reducers: it grows with the input.
+#: Bytes of text whose signatures a reducer gets, about: the number of reducers grows with the input.
 PARTITION_BYTES = 32 << 20
-LEAST_PARTITIONS = 32
-FLUSH = 1 << 20
+#: Bytes of text to a gram, for the share of the partitions that a band gets; nothing else depends on it.
+GRAM_BYTES = 7
+FLUSH = 1 << 19
 #: What checking a candidate by its parity map costs against writing, moving and sorting a signature.
 CANDIDATE_COST = 0.1
-#: Documents of a component that are verified side by side; larger components go in pairs of such blocks.
-VERIFY_BLOCK = 512
+#: Signatures of a reducer whose partners are looked up side by side.
+PAIR_STEP = 1 << 18
+#: Text of a component that is verified side by side; larger components go in pairs of such blocks.
+VERIFY_BYTES = 4 << 20
 #: Documents of a set whose pairs with all of the set one task makes.
 EXPAND_BLOCK = 256
 _SPLIT = re.compile("[\x00-\x20]+")
@@ -114,11 +119,31 @@ def _flat_segments(h: np.ndarray, doc: np.ndarray, seed: int, m: np.ndarray) ->
     return h, doc, seg.astype(np.int64)
 
 
+class Spread:
+    """Which partition a signature goes to: each band has a range of [0, parts), as wide as its share of the text."""
+
+    def __init__(self, mass: dict[int, int], parts: int):
+        # a set signs in its own band and in the next lower one
+        top = max(mass, default=0)
+        share = np.array([mass.get(b, 0) + mass.get(b + 1, 0) + 1 for b in range(top + 1)], dtype=float)
+        ends = np.cumsum(share) / share.sum() * parts
+        self.parts, self.first, self.width = parts, np.append(0, ends[:-1]), np.diff(ends, prepend=0)
+
+    def part(self, key: np.ndarray, band: np.ndarray) -> np.ndarray:
+        b = np.minimum(band, len(self.first) - 1)
+        return np.minimum((self.first[b] + (key >> U(32)).astype(float) / (1 << 32) * self.width[b]).astype(np.int64), self.parts - 1)
+
+
 def signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(key, set) of every signature. h: the distinct 48-bit grams, sorted within each set; an exact subset's key is odd, a deletion's even."""
+    return _signatures(h, bounds, plan)[:2]
+
+
+def _signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``signatures`` with the band of each."""
     sizes = np.diff(bounds)
     own, low = plan.band(sizes), plan.lowest(sizes)
-    keys, sets = [], []
+    keys, sets, bands = [], [], []
     for b in np.unique(np.concatenate([own, low])):
         v, q, m, slack = plan.allocation(int(b))
         todo = np.flatnonzero((sizes > 0) & (low <= b) & (own >= b))
@@ -157,14 +182,15 @@ def signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarra
                 keys.append(mix((total[which[use]] - mixed[use]) ^ place[which[use]]) & ~U(1))
                 sets.append(todo[owner[use]])
             todo = todo[loss > slack]
+        bands.extend([int(b)] * (len(keys) - len(bands)))
     if not keys:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(sets)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(sets), np.repeat(np.array(bands, np.int64), [len(k) for k in keys])
 
 
-def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+def gram_sets(texts: pa.Array, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(distinct 48-bit grams, sorted within each text; bounds of the texts)."""
-    h, bounds, _, _ = words(texts)
+    h, bounds, _, _ = words(texts, seed=seed)
     g, gb = ngrams(h, bounds, n)
     doc = np.repeat(np.arange(len(gb) - 1), np.diff(gb)).astype(U)
     # texts of a chunk number fewer than 2^16 unless nearly all are tiny; those are cut again by the caller
@@ -176,8 +202,8 @@ def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bits(size: np.ndarray) -> np.ndarray:
-    """log2 of the bits of a parity map for a set of this size: between half of it and all, 64 at least."""
-    return np.maximum(6, np.ceil(np.log2(np.maximum(size, 1)) - 1e-9) - 1).astype(np.int64)
+    """log2 of the bits of a parity map for a set of this size: between 0.7 and 1.4 times of it, 64 at least."""
+    return np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) * 0.7) - 1e-9)).astype(np.int64)
 
 
 def _parity(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -231,28 +257,27 @@ class _Maps:
 BLOCK = "part int, keys binary, counts binary, rids binary, sizes binary, prints binary, maps binary"
 
 
-def _blocks(n: int, plan: Plan, parts: int):
+def _blocks(n: int, plan: Plan, spread: Spread, seed: int):
     """Map side: (rid, text) batches to packed blocks of signatures for each partition."""
 
     def flush(held: list, arrays: dict) -> pa.RecordBatch:
         key = np.concatenate([x[0] for x in held])
         doc = np.concatenate([x[1] for x in held])
+        part = np.concatenate([x[2] for x in held])
         rid, size, mark, maps = (np.concatenate(arrays[k]) for k in ("rid", "size", "print", "map"))
         length = (np.int64(1) << _bits(size)) // 8
         start = np.cumsum(length) - length
-        part = ((key >> U(32)) * U(parts)) >> U(32)
-        order = np.lexsort((doc, part))
-        key, doc, part = key[order], doc[order], part[order].astype(np.int64)
-        cut = np.searchsorted(part, np.arange(parts + 1))
+        order = np.argsort(part.astype(np.int64) * len(rid) + doc)
+        key, doc, part = key[order].astype(np.uint32), doc[order], part[order]
+        cut = np.searchsorted(part, np.arange(spread.parts + 1))
         rows = []
         for p in np.flatnonzero(np.diff(cut)):
             d = doc[cut[p] : cut[p + 1]]
             at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
             who = d[at]
             count = np.diff(np.append(at, len(d)))
-            # the low 48 bits of a key with its kind; the high bits chose the partition
-            six = (key[cut[p] : cut[p + 1]] & _48).view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((int(p), six.tobytes(), planes(count, 4), planes(np.diff(rid[who], prepend=0), 8), planes(size[who], 4), mark[who].tobytes(), maps[_spans(start[who], length[who])].tobytes()))
+            # the low 32 bits of a key with its kind; the high ones chose the partition
+            rows.append((int(p), key[cut[p] : cut[p + 1]].tobytes(), planes(count, 4), planes(np.diff(rid[who], prepend=0), 8), planes(size[who], 4), mark[who].tobytes(), maps[_spans(start[who], length[who])].tobytes()))
         held.clear()
         for x in arrays.values():
             x.clear()
@@ -266,14 +291,14 @@ def _blocks(n: int, plan: Plan, parts: int):
             for a, z in chunks(texts):
                 for a2 in range(a, z, 60_000):
                     z2 = min(z, a2 + 60_000)
-                    h, bounds = gram_sets(texts.slice(a2, z2 - a2), n)
+                    h, bounds = gram_sets(texts.slice(a2, z2 - a2), n, seed)
                     size = np.diff(bounds)
                     some = np.flatnonzero(size)
                     mark = np.zeros(z2 - a2, U)
                     if len(some):
                         mark[some] = np.add.reduceat(mix(h), bounds[:-1][some])
-                    key, doc = signatures(h, bounds, plan)
-                    held.append((key, doc + docs))
+                    key, doc, band = _signatures(h, bounds, plan)
+                    held.append((key, (doc + docs).astype(np.int32), spread.part(key, band).astype(np.int32)))
                     arrays["rid"].append(rids[a2:z2].astype(np.int64))
                     arrays["size"].append(size)
                     arrays["print"].append(mark)
@@ -301,10 +326,6 @@ def _candidates(t: float):
             off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
             return np.frombuffer(c.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind)
 
-        six = joined("keys", np.uint8).reshape(-1, 6)
-        key = np.zeros(len(six), U)
-        key.view(np.uint8).reshape(-1, 8)[:, :6] = six
-        del six
         columns = {k: [unplanes(b, w).astype(np.int64) for b in table.column(k).to_pylist()] for k, w in (("rids", 8), ("sizes", 4), ("counts", 4))}
         rid = np.concatenate([np.cumsum(x) for x in columns["rids"]])
         size, count = np.concatenate(columns["sizes"]), np.concatenate(columns["counts"])
@@ -318,39 +339,43 @@ def _candidates(t: float):
         leader[order] = lead
         twins = np.flatnonzero(rid[leader] != rid)
         a_out, b_out, same = [rid[leader[twins]]], [rid[twins]], [np.ones(len(twins), bool)]
-        keep = (rid[leader] == rid)[doc]
-        key, doc = key[keep], leader[doc[keep]].astype(np.int32)
-        del keep
-        # by subset, with the kind of signature in the lowest bit
-        order = np.argsort(key)
-        key, doc = key[order], doc[order]
-        del order
-        same_run = (key[1:] >> U(1)) == (key[:-1] >> U(1))
+        lead_of = np.where(rid[leader] == rid, leader, -1).astype(np.int64)[doc]
+        del doc
+        # key and document in one integer, sorted in place; the kind of signature is the key's lowest bit
+        both = joined("keys", np.uint32).astype(U)
+        both <<= U(32)
+        both |= lead_of.view(U)
+        both = both[lead_of >= 0]
+        del lead_of
+        both.sort()
+        key = both.view(np.uint32)[1::2]
+        same_run = (key[1:] ^ key[:-1]) < 2
         shared = np.zeros(len(key), bool)
         shared[1:] |= same_run
         shared[:-1] |= same_run
-        key, doc = key[shared], doc[shared].astype(np.int64)
-        kind, key = (key & U(1)).astype(bool), key >> U(1)
-        run_id = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else np.zeros(0, np.int64)
-        del key, shared, same_run
-        found, held, step = [], 0, 1
+        both = both[shared]
+        key, doc = (both >> U(33)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int32)
+        kind = (both & U(1 << 32)).astype(bool)
+        del both, shared, same_run
+        found, held = [], 0
         maps = _Maps(joined("maps", np.uint8), size, t)
-        here = np.arange(len(run_id))
-        while len(here):
-            here = here[here + step < len(run_id)]
-            here = here[run_id[here] == run_id[here + step]]
-            x, y = doc[here], doc[here + step]
-            small, big = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            ok = (kind[here] | kind[here + step]) & (x != y) & (small >= np.ceil(big * t - 1e-9))
-            x, y = x[ok], y[ok]
-            ok = maps.may_join(x, y)
-            x, y = x[ok], y[ok]
-            pair = (np.minimum(x, y).astype(U) << U(32)) | np.maximum(x, y).astype(U)
-            found.append(pair)
-            held += len(pair)
-            if held > 2 << 20:
-                found, held = [np.unique(np.concatenate(found))], 0
-            step += 1
+        for at in range(0, len(key), PAIR_STEP):
+            here, step = np.arange(at, min(at + PAIR_STEP, len(key))), 1
+            while len(here):
+                here = here[here + step < len(key)]
+                here = here[key[here] == key[here + step]]
+                x, y = doc[here], doc[here + step]
+                small, big = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                ok = (kind[here] | kind[here + step]) & (x != y) & (small >= np.ceil(big * t - 1e-9))
+                x, y = x[ok], y[ok]
+                ok = maps.may_join(x, y)
+                x, y = x[ok], y[ok]
+                pair = (np.minimum(x, y).astype(U) << U(32)) | np.maximum(x, y).astype(U)
+                found.append(pair)
+                held += len(pair)
+                if held > 1 << 20:
+                    found, held = [np.unique(np.concatenate(found))], 0
+                step += 1
         pair = np.unique(np.concatenate(found)) if found else np.zeros(0, U)
         x, y = rid[(pair >> U(32)).astype(np.int64)], rid[(pair & U(0xFFFFFFFF)).astype(np.int64)]
         a_out.append(np.minimum(x, y))
@@ -361,69 +386,120 @@ def _candidates(t: float):
     return run
 
 
-def _exact_sets(text: str, n: int) -> frozenset:
-    w = [x for x in _SPLIT.split(text) if x]
-    if n == 1 or not w:
-        return frozenset(w)
-    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
+class _ExactSets:
+    """Gram sets as sorted arrays of numbers, given to words and grams one after the other: equal if and only if the words are."""
+
+    def __init__(self, n: int):
+        self.n, self.words, self.short, self.grams, self.sets = n, {}, {}, [{} for _ in range(n - 1)], {}
+
+    def add(self, who: int, text: str) -> None:
+        ids = last = [self.words.setdefault(w, len(self.words)) for w in _SPLIT.split(text) if w]
+        if 0 < len(ids) < self.n:
+            # one gram of all words, unlike any longer one
+            ids = [-1 - self.short.setdefault(tuple(ids), len(self.short))]
+        else:
+            for k, known in enumerate(self.grams, 1):
+                ids = [known.setdefault(p, len(known)) for p in zip(ids, last[k:])]
+        self.sets[who] = np.unique(np.array(ids, np.int64))
+
+    def overlaps(self, a: int, others: list[int]) -> list[int]:
+        mine, each = self.sets[a], [self.sets[b] for b in others]
+        if not len(mine):
+            return [0] * len(others)
+        flat = np.concatenate(each)
+        hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        ends = np.cumsum([len(x) for x in each])
+        total = np.concatenate([[0], np.cumsum(hit)])
+        return np.diff(total[np.concatenate([[0], ends])]).tolist()
 
 
 def _verify(n: int, t: float):
-    """Rows by task: first its documents (text, no b), then its pairs. The pairs that reach t, with overlap and size of the union."""
+    """Rows by task: first its documents (text, no b), then its pairs by a. The pairs that reach t, and those called the same in any
+    case, with overlap and size of the union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, sets = None, {}
+        task, sets, now, others = None, None, None, []
+        out: list[tuple[int, int, bool, int, int]] = []
+
+        def check() -> None:
+            if others:
+                for (b, same), both in zip(others, sets.overlaps(now, [b for b, _ in others])):
+                    union = len(sets.sets[now]) + len(sets.sets[b]) - both
+                    if same or both >= t * union - 1e-9:
+                        out.append((now, b, same, both, union))
+                others.clear()
+
+        def rows() -> pa.RecordBatch:
+            c = list(zip(*out)) if out else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["a", "b", "same", "overlap", "total"])
+            out.clear()
+            return batch
+
         for batch in batches:
-            keys = zip(*[batch.column(c).to_pylist() for c in ("root", "ca", "cb", "a", "b")])
+            keys = zip(*[batch.column(c).to_pylist() for c in ("root", "ca", "cb", "a", "b", "same")])
             text = pc.utf8_lower(batch.column("text"))
-            out: list[tuple[int, int, int, int]] = []
-            for i, (root, ca, cb, a, b) in enumerate(keys):
+            for i, (root, ca, cb, a, b, same) in enumerate(keys):
                 if task != (root, ca, cb):
-                    task, sets = (root, ca, cb), {}
+                    check()
+                    task, sets, now = (root, ca, cb), _ExactSets(n), None
                 if b is None:
-                    sets[a] = _exact_sets(text[i].as_py(), n)
+                    sets.add(a, text[i].as_py())
                     continue
-                both = len(sets[a] & sets[b])
-                union = len(sets[a]) + len(sets[b]) - both
-                if both >= t * union - 1e-9:
-                    out.append((a, b, both, union))
-            c = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["a", "b", "overlap", "total"])
+                if a != now or len(others) >= 1000:
+                    check()
+                    now = a
+                others.append((b, same))
+            yield rows()
+        check()
+        if out:
+            yield rows()
 
     return run
 
 
-def _verified(near: DataFrame, slim: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, millionths) of the candidates that reach the threshold."""
-    tree = components(near)
+def _verified(found: DataFrame, slim: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, same, overlap, total) of the candidates that reach the threshold or are called the same."""
+    tree = components(found.select("a", "b"))
     member = tree.unionByName(tree.select(F.col("root").alias("rid"), "root").distinct())
-    block = ((F.row_number().over(Window.partitionBy("root").orderBy("rid")) - 1) / VERIFY_BLOCK).cast("int")
-    member = written(member.withColumn("c", block), "pair-blocks")
+    member = join_rows(slim.select("rid", F.octet_length("text").cast("bigint").alias("bytes")), member, "rid")
+    upto = F.sum("bytes").over(Window.partitionBy("root").orderBy("rid").rowsBetween(Window.unboundedPreceding, -1))
+    member = written(member.withColumn("c", F.floor(F.coalesce(upto, F.lit(0)) / VERIFY_BYTES).cast("int")).drop("bytes"), "pair-blocks")
     left = member.select(F.col("rid").alias("a"), "root", F.col("c").alias("ca"))
     right = member.select(F.col("rid").alias("b"), F.col("c").alias("cb"))
-    pairs = written(near.join(left, "a").join(right, "b").select("root", "ca", "cb", "a", "b"), "pair-tasks")
+    pairs = written(found.join(left, "a").join(right, "b").select("root", "ca", "cb", "a", "b", "same"), "pair-tasks")
     need = written(pairs.select("root", "ca", "cb", "a").union(pairs.select("root", "ca", "cb", "b")).distinct().withColumnRenamed("a", "rid"), "pair-needs")
-    rows = need.count()
-    texts = slim.join(F.broadcast(need) if rows * 48 <= BROADCAST_BYTES else need.hint("shuffle_hash"), "rid")
-    texts = texts.select("root", "ca", "cb", F.col("rid").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
-    tasks = texts.unionByName(pairs.withColumn("text", F.lit(None).cast("string"))).repartition("root", "ca", "cb")
-    tasks = tasks.sortWithinPartitions("root", "ca", "cb", F.col("b").asc_nulls_first())
-    found = tasks.mapInArrow(_verify(n, threshold), "a bigint, b bigint, overlap bigint, total bigint")
-    return found.select("a", "b", F.expr("overlap * 1000000 div total").alias("millionths"))
+    none = F.lit(None)
+    texts = join_rows(slim, need, "rid").select("root", "ca", "cb", F.col("rid").alias("a"), none.cast("bigint").alias("b"), none.cast("boolean").alias("same"), "text")
+    tasks = texts.unionByName(pairs.withColumn("text", none.cast("string"))).repartition("root", "ca", "cb")
+    tasks = tasks.sortWithinPartitions("root", "ca", "cb", F.col("b").isNotNull(), "a", "b")
+    return tasks.mapInArrow(_verify(n, threshold), "a bigint, b bigint, same boolean, overlap bigint, total bigint")
+
+
+def _sizes(slim: DataFrame, threshold: float) -> tuple[dict[int, int], int, int]:
+    """({band by bytes: bytes}, bytes, rows) of all documents."""
+    n = F.octet_length("text").cast("bigint")
+    band = F.floor(F.ln(F.greatest(n / GRAM_BYTES, F.lit(1.0))) / math.log(1 / threshold)).cast("int")
+    # as many rows as there are bands: the logarithm of the longest text
+    found = slim.groupBy(F.coalesce(band, F.lit(0)).alias("b")).agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("c")).collect()
+    return {r.b: int(r.n) for r in found}, sum(int(r.n) for r in found), sum(r.c for r in found)
 
 
-def _twins_and_near(keyed: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _twins_and_near(keyed: DataFrame, n: int, threshold: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Over the rids of ``keyed`` (row, rid): (a, b) of each set's least document and each further one, and (a, b, millionths)
     of the least documents of distinct sets, a < b; the similarity in millionths, rounded down."""
     slim = keyed.select("rid", F.col("row").getField("text").alias("text"))
-    size, rows = text_bytes(slim)
+    mass, size, rows = _sizes(slim, threshold)
     plan = Plan(threshold, rows)
-    parts = max(LEAST_PARTITIONS, math.ceil(size / PARTITION_BYTES))
-    blocks = slim.filter("text IS NOT NULL").mapInArrow(_blocks(n, plan, parts), BLOCK)
+    spread = Spread(mass, max(1, math.ceil(size / PARTITION_BYTES)))
+    blocks = slim.filter("text IS NOT NULL").mapInArrow(_blocks(n, plan, spread, seed), BLOCK)
     found = blocks.groupBy("part").applyInArrow(_candidates(threshold), "a bigint, b bigint, same boolean")
-    # copies are reported by every partition, so a copy's least leader over all of them is its own
+    # copies and pairs are reported by several partitions; a copy's least leader over all of them is its own
     found = written(found.distinct(), "candidates")
-    return found.filter("same").select("a", "b"), _verified(found.filter("NOT same").select("a", "b"), slim, n, threshold)
+    found = written(_verified(found, slim, n, threshold), "verified")
+    if found.filter("same AND overlap < total").limit(1).count():
+        return _twins_and_near(keyed, n, threshold, seed + 1)
+    return found.filter("same").select("a", "b"), found.filter("NOT same").select("a", "b", F.expr("overlap * 1000000 div total").alias("millionths"))
 
 
 def _pairs(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -435,7 +511,6 @@ def _pairs(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
 def _all_pairs(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b, millionths) over rids, a < b, of every two documents that reach the threshold."""
     twins, near = _twins_and_near(keyed, n, threshold)
-    near = written(near, "near-sets")
     # every document of a set that has several, by the set's least one, with its number in the set
     member = twins.select(F.col("a").alias("lead"), F.col("b").alias("rid")).union(twins.select("a", "a").distinct())
     member = member.withColumn("i", F.row_number().over(Window.partitionBy("lead").orderBy("rid")) - 1)
@@ -500,6 +575,4 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
     """``docs`` with one document, the least by doc_id, of each group that pairs connect, in its own columns."""
     keyed, _ = with_row_id(docs)
     drop = components(_pairs(keyed, n, threshold).select("a", "b")).select("rid")
-    rows = drop.count()
-    kept = keyed.join(F.broadcast(drop) if rows * 16 <= BROADCAST_BYTES else drop.hint("shuffle_hash"), "rid", "left_anti")
-    return unpacked(kept, docs.columns)
+    return unpacked(drop_rows(keyed, drop, "rid"), docs.columns)

@@ -38,27 +38,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
-_SETS = """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[^\\x00-\\x20]+')) AS g FROM documents),
-  s AS (SELECT MIN(doc_id) AS doc_id, list_sort(g) AS g, list(doc_id) AS ids FROM w WHERE len(g) > 0 GROUP BY list_sort(g)),
-  p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.g, b.g)) AS o, len(a.g) AS x, len(b.g) AS y
-    FROM s a JOIN s b ON a.doc_id < b.doc_id AND len(a.g) >= 0.8 * len(b.g) AND len(b.g) >= 0.8 * len(a.g))"""
+_GRAMS = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x00-\\x20]+') AS w FROM documents),
+  g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w), 2)), lambda i: array_to_string(w[i : i + 1], ' '))) AS g FROM w WHERE len(w) > 0)"""
+_OVERLAPS = """u AS (SELECT doc_id, len(g) AS n, UNNEST(g) AS x FROM {sets}),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS o, MIN(a.n) + MIN(b.n) - COUNT(*) AS total FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
+  SELECT a AS doc_a, b AS doc_b, CAST(o * 1000000 // total AS BIGINT) AS millionths FROM p WHERE o * 10 >= 7 * total"""
 
 
-@query(
-    "op5_all_pairs",
-    """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[^\\x00-\\x20]+')) AS g FROM documents),
-         p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.g, b.g)) AS o, len(a.g) AS x, len(b.g) AS y FROM w a JOIN w b
-           ON a.doc_id < b.doc_id AND len(a.g) > 0 AND len(b.g) > 0 AND len(a.g) >= 0.8 * len(b.g) AND len(b.g) >= 0.8 * len(a.g))
-       SELECT a AS doc_a, b AS doc_b, CAST(o * 1000000 // (x + y - o) AS BIGINT) AS millionths FROM p WHERE o * 10 >= 8 * (x + y - o)""",
-)
+@query("op5_all_pairs", f"{_GRAMS}, {_OVERLAPS.format(sets='g')}")
 def op5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.all_similar_pairs(read(spark, sf_dir, "documents"))
 
 
 @query(
     "op5_ngram_jaccard_join",
-    _SETS
-    + """ SELECT a AS doc_a, b AS doc_b, CAST(o * 1000000 // (x + y - o) AS BIGINT) AS millionths FROM p WHERE o * 10 >= 8 * (x + y - o)
+    f"""{_GRAMS}, s AS (SELECT MIN(doc_id) AS doc_id, list_sort(g) AS g, list(doc_id) AS ids FROM g GROUP BY list_sort(g)), {_OVERLAPS.format(sets="s")}
       UNION ALL SELECT doc_id, UNNEST(list_filter(ids, lambda i: i <> doc_id)), 1000000 FROM s""",
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +71,13 @@ def _mixed32(c: str) -> str:
     return f"xor({h}, ({h}) >> 16)"
 
 
+@query("op8_source_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(read(spark, sf_dir, "documents"))
+
+
 @query(
-    "op8_source_mixing",
+    "source_mixing_by_words",
     f"""WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(text, '[^\\x00-\\x20]+')) AS BIGINT) AS n,
           CAST(length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g')) + 1 AS DOUBLE) / CAST(length(text) + 1 AS DOUBLE) AS w FROM documents),
         h AS (SELECT *, {_mixed32("(doc_id + 20) % 2147483648")} AS h1 FROM d WHERE n > 0),
@@ -91,8 +90,9 @@ def _mixed32(c: str) -> str:
       SELECT doc_id, source, n AS n_tokens, CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM o
       WHERE epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0""",
 )
-def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_plan(read(spark, sf_dir, "documents"))
+def source_mixing_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_source_mixing with words for tokens, which SQL can count."""
+    return mixing.mix_plan(read(spark, sf_dir, "documents"), unit="words")
 
 
 @query("op9_cost_balanced_packing")
