@@ -1,6 +1,6 @@
 """Operator 9. Cost-balanced packing.
 
-A document of n tokens (words) costs LINEAR * n + n * n: the linear part of a layer against its attention. Documents
+A document of n tokens (of the tokenizer, or of a column that holds their number) costs LINEAR * n + n * n: the linear part of a layer against its attention. Documents
 longer than the capacity are cut into pieces of the capacity. Shards of about ``SHARD_TOKENS`` tokens, drawn by a hash of the
 id, are packed each on its own: pieces in descending order of cost go to the sequence of the lowest cost so far that has room
 for them, and a new sequence is opened only when none has. A shard begins with as many sequences as its tokens need
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import with_row_id, written
+from gristmill.llm.tokens import PATH, token_count
 
 CAPACITY = 4096
 LINEAR = 24_576
@@ -47,18 +48,25 @@ def assign(n: np.ndarray, capacity: int, linear: int) -> tuple[np.ndarray, np.nd
     return seq, start
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, linear: int = LINEAR, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, linear: int = LINEAR, shard_tokens: int = SHARD_TOKENS, tokenizer: str = PATH, tokens: str | None = None) -> DataFrame:
     """One row for each piece: (doc_id, piece, doc_start, n_tokens, shard, sequence, start).
 
+    tokens: a column with each document's number of tokens (none where it is NULL or below 1), in place of the tokenizer's.
+
     doc_start is the piece's first token in its document, start its first in the sequence; (shard, sequence) names a sequence.
     """
-    slim = docs.select("doc_id", F.regexp_count("text", F.lit("[^\\x00-\\x20]+")).cast("bigint").alias("n")).filter("n > 0")
-    keyed, _ = with_row_id(slim)
-    sizes = written(keyed.select("rid", "row.doc_id", "row.n"), "pack-sizes")
+    keyed, _ = with_row_id(docs.select("doc_id", F.col(f"`{tokens}`" if tokens else "text").alias("text")))
+    text = F.col("row").getField("text")
+    # tokens are counted once: the sizes are written, and no filter on them reaches the pass over the ids
+    sizes = written(keyed.select("rid", F.col("row.doc_id").cast("bigint").alias("doc_id"), (text.cast("bigint") if tokens else token_count(text, tokenizer)).alias("n")), "pack-sizes").filter("n > 0")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")).first()[0]
     shards = max(1, math.ceil(total / shard_tokens))
     pieces = sizes.select(
-        "rid", "doc_id", "n", F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard"), F.explode(F.expr(f"sequence(0L, (n - 1) div {capacity})")).alias("piece")
+        "rid",
+        "doc_id",
+        "n",
+        F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard"),
+        F.explode(F.expr(f"sequence(0L, (n - 1) div {capacity})")).alias("piece"),
     )
     pieces = pieces.select("rid", "doc_id", "shard", "piece", F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("piece") * capacity).alias("k"))
 
