@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import packed, unpacked
+from gristmill.llm.common import likely_rows, packed, unpacked, written
 from gristmill.llm.grams import _bytes, chunks, words
 
 ALPHA = 0.05
@@ -39,13 +39,9 @@ FEATURES = ("words", "symbols", "exclamations", "capitals", "digits", "bars", "r
 
 
 def _classes() -> np.ndarray:
-    c = np.zeros((6, 256), np.uint8)
-    c[0, [b for b in range(33, 127) if chr(b) in "#$%&*@^~<>{}[]\\=+_"]] = 1
-    c[1, ord("!")] = 1
-    c[2, [b for b in range(65, 91)]] = 1
-    c[3, [b for b in range(48, 58)]] = 1
-    c[4, ord("|")] = 1
-    c[5, ord(".")] = 1
+    c = np.zeros(256, np.uint8)
+    for i, letters in enumerate(("#$%&*@^~<>{}[]\\=+_", "!", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "|", "."), 1):
+        c[[ord(x) for x in letters]] = i
     return c
 
 
@@ -62,10 +58,10 @@ def features(texts: pa.Array) -> np.ndarray:
         if not len(some):
             continue
         ink = np.add.reduceat(end - start, bounds[some])
-        share = np.zeros((6, len(some)))
-        at = off[some]
-        for i in range(6):
-            share[i] = np.add.reduceat(classes[i][data], at, dtype=np.int64) / ink
+        kind = classes[data]
+        at = np.flatnonzero(kind)
+        owner = np.searchsorted(off, at, side="right") - 1
+        share = np.bincount(owner * 7 + kind[at], minlength=7 * len(n)).reshape(-1, 7)[some, 1:].T / ink
         text = np.repeat(np.arange(len(n)), n)
         same = np.zeros(len(h), np.int64)
         same[1:] = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
@@ -110,12 +106,27 @@ def score(f: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P[Bin(n, p) <= k], summed from exact log terms."""
+    """P[Bin(n, p) <= k] as the incomplete beta function I(1 - p; n - k, k + 1), by its continued fraction: no sum over k."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    a, b, x = n - k, k + 1, 1 - p
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        return min(1.0, front * _fraction(a, b, x) / a)
+    return max(0.0, 1 - front * _fraction(b, a, 1 - x) / b)
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    out = d
+    for m in range(1, 100_000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + num * d or tiny), 1 + num / c or tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return out
 
 
 def cutoffs(good: dict, bad: dict, alpha: float, delta: float, grid: int = CUTOFFS) -> dict:
@@ -137,25 +148,25 @@ def cutoffs(good: dict, bad: dict, alpha: float, delta: float, grid: int = CUTOF
 
 def calibrate(docs: DataFrame, labels: DataFrame, alpha: float, delta: float):
     """(model, {stratum: cutoff}), or (None, {}) where the labels have not both kinds."""
-    y = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    f = docs.select("doc_id", F.col("lang").alias("s"), _feature_column("text").alias("f")).join(y, "doc_id").filter("f[0] > 0")
-    f = f.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))).persist()
-    try:
-        sample = f.filter("half = 0").orderBy(F.xxhash64("doc_id", F.lit(7)), "f").limit(FIT_ROWS).select("f", "y").toArrow()
-        target = sample["y"].to_numpy().astype(float)
-        if len(set(target.tolist())) < 2:
-            return None, {}
-        model = fit(np.array(sample["f"].combine_chunks().values).reshape(-1, len(FEATURES)), target)
-
-        @F.arrow_udf("int")
-        def bins(x: pa.Array) -> pa.Array:
-            v = np.array(x.flatten()).reshape(-1, len(FEATURES))
-            return pa.array(np.minimum((score(v, model) * CUTOFFS).astype(np.int32), CUTOFFS - 1))
-
-        # strata x bins x 2 rows, however many documents there are
-        counted = f.filter("half = 1").groupBy("s", bins(F.col("f")).alias("b"), "y").agg(F.count(F.lit(1)).alias("n")).collect()
-    finally:
-        f.unpersist()
+    y = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").alias("q")).filter("doc_id IS NOT NULL AND q IS NOT NULL")
+    y = written(y.groupBy("doc_id").agg(F.min("q").alias("y")), "quality-labels")
+    # features of the labelled documents alone, in their own task: only ids and features are exchanged
+    slim = likely_rows(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("s"), "text"), y, "doc_id")
+    f = slim.select("doc_id", "s", _feature_column("text").alias("f")).join(y, "doc_id").filter("f[0] > 0")
+    f = written(f.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))), "quality-features")
+    sample = f.filter("half = 0").orderBy(F.xxhash64("doc_id", F.lit(7)), "f").limit(FIT_ROWS).select("f", "y").toArrow()
+    target = sample["y"].to_numpy().astype(float)
+    if len(set(target.tolist())) < 2:
+        return None, {}
+    model = fit(np.array(sample["f"].combine_chunks().values).reshape(-1, len(FEATURES)), target)
+
+    @F.arrow_udf("int")
+    def bins(x: pa.Array) -> pa.Array:
+        v = np.array(x.flatten()).reshape(-1, len(FEATURES))
+        return pa.array(np.minimum((score(v, model) * CUTOFFS).astype(np.int32), CUTOFFS - 1))
+
+    # strata x bins x 2 rows, however many documents there are
+    counted = f.filter("half = 1").groupBy("s", bins(F.col("f")).alias("b"), "y").agg(F.count(F.lit(1)).alias("n")).collect()
     good: dict = {}
     bad: dict = {}
     for r in counted:
@@ -174,11 +185,10 @@ def _scored(docs: DataFrame, labels: DataFrame, alpha: float, delta: float) -> D
         s = score(f, model) if model is not None else np.ones(len(f))
         return pa.array(np.where(f[:, 0] > 0, s, -1.0))
 
-    @F.arrow_udf("double")
-    def limit(lang: pa.Array) -> pa.Array:
-        return pa.array([limits.get(x, 0.0) for x in lang.to_pylist()], pa.float64())
-
-    return packed(docs, score=run(F.col("text")), cutoff=limit(F.col("lang"))).filter("score >= cutoff")
+    # a row a stratum that has labels
+    cut = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in limits.items()], "stratum string, cut double")
+    d = packed(docs, score=run(F.col("text")), lang=F.col("lang").cast("string")).join(cut, F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    return d.select("row", "score", F.coalesce("cut", F.lit(0.0)).alias("cutoff")).filter("score >= cutoff")
 
 
 def passing(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
