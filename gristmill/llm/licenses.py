@@ -11,10 +11,11 @@ reported; a NULL doc_id is reported as NULL; other columns take no part; an empt
 
 from __future__ import annotations
 
+import bisect
 import re
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,9 @@ from gristmill.llm.license_rules import rules
 
 SCHEMA = "doc_id bigint, license string, rule string, priority int, start int, stop int, matched string"
 _SPACE = re.compile(r"\s+")
+_RUN = re.compile(r"\s{2,}")
+#: White space that is not one space or line feed alone.
+_WIDE = re.compile(r"\s\s|[^\S \n]")
 #: Letters that a case-insensitive pattern takes for ASCII ones and lower() leaves or makes longer.
 _ALIKE = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"))
 
@@ -43,7 +47,7 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, str, int, int, int]]:
         """(license, rule, priority, start, stop) of the detections that stay, by start; offsets in ``text``."""
-        flat = _SPACE.sub(" ", text) if _wide(text) else text.replace("\n", " ")
+        flat = _SPACE.sub(" ", text) if _WIDE.search(text) else text.replace("\n", " ")
         low = flat
         if not flat.isascii():
             for c, plain in _ALIKE:
@@ -57,30 +61,30 @@ class Scanner:
                 a, z = m.span()
                 if z > a:
                     hits.append((-priority, a - z, i, a, z))
+        # Who lies within a suppressed detection lies within its suppressor too, so a detection goes if any one of higher rank
+        # contains it. By start, the longest first, containers come before what they contain: one pass with the furthest
+        # stop of each priority decides.
         kept: list[tuple[int, int, int]] = []
-        for _, _, i, a, z in sorted(hits):
-            if not any(b <= a and z <= y for b, y, _ in kept):
+        furthest: dict[int, int] = {}
+        for p, _, i, a, z in sorted(hits, key=lambda h: (h[3], -h[4], h)):
+            if not any(q <= p and stop >= z for q, stop in furthest.items()):
                 kept.append((a, z, i))
+            furthest[p] = max(z, furthest.get(p, 0))
         if not kept:
             return []
-        at = _offsets(text) if len(flat) != len(text) else None
-        out = [(self.rules[i][1], self.rules[i][0], self.rules[i][2], *((a, z) if at is None else (at[a], at[z - 1] + 1))) for a, z, i in kept]
+        at = _offsets(text) if len(flat) != len(text) else int
+        out = [(self.rules[i][1], self.rules[i][0], self.rules[i][2], at(a), at(z - 1) + 1) for a, z, i in kept]
         return sorted(out, key=lambda r: (r[3], -r[4], r[1]))
 
 
-def _wide(text: str) -> bool:
-    return not text.isascii() or "  " in text or "\t" in text or "\r" in text or " \n" in text or "\n " in text or "\n\n" in text
-
-
-def _offsets(text: str) -> list[int]:
-    """For each character of the text with single spaces, its place in the text."""
-    out, last = [], 0
-    for m in _SPACE.finditer(text):
-        out.extend(range(last, m.start()))
-        out.append(m.start())
-        last = m.end()
-    out.extend(range(last, len(text)))
-    return out
+def _offsets(text: str) -> Callable[[int], int]:
+    """From a place in the text with single spaces to the place in the text."""
+    ends, shifts, shift = [-1], [0], 0
+    for m in _RUN.finditer(text):
+        shift += m.end() - m.start() - 1
+        ends.append(m.end() - shift)
+        shifts.append(shift)
+    return lambda a: a + shifts[bisect.bisect_right(ends, a) - 1]
 
 
 def scanner() -> Scanner:
