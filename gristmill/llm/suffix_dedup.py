@@ -1,12 +1,12 @@
 """Operator 7. Suffix-array dedup by distributed prefix doubling.
 
-Every word position is a suffix. The first ranks order positions by their first ``THRESHOLD / 2^DOUBLINGS`` words. At each doubling
+Every word position is a suffix. The first ranks order positions by their first ``THRESHOLD / 2^DOUBLINGS`` words, a few. At each doubling
 the pairs (rank of p, rank of p + h) are sorted and ranked again, which orders positions by 2h words, until a
 position is alone in its rank and drops out, or the threshold is reached. What is left there are the starts of
 passages of THRESHOLD words that occur at least twice; the union of those passages within a document is its repeated text.
 
-Spark moves position-rank pairs as packed blocks, by rank for sorting and back by document for the next pairing; each task
-sorts its share of the ranks. Rank keys order by hash, not by letters: for equality any order common to all tasks does.
+Spark moves position-rank pairs as packed blocks, by ranges of the rank for sorting and back by document for the next pairing; each
+task sorts its range. Rank keys order by hash, not by letters: for equality any order common to all tasks does.
 Every position of every document takes part. The last doubling overlaps (offset THRESHOLD - h), so any threshold is met exactly.
 
 Defined cases: NULL texts and texts shorter than THRESHOLD words have no passage; words are runs of bytes above 0x20, compared as
@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import text_bytes, with_row_id
-from gristmill.llm.grams import U, _power, chunks, mix, planes, unplanes, words
+from gristmill.llm.grams import U, chunks, mix, planes, unplanes, words
 
 THRESHOLD = 50
-DOUBLINGS = 1
+DOUBLINGS = 3
 PARTITION_BYTES = 24 << 20
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+#: Bytes of a key that travel beside those that choose the partition: of the first windows, and of pairs of ranks.
+FIRST_WIDTH, PAIR_WIDTH = 4, 6
 _STEP = 0xC2B2AE3D27D4EB4F
-_STEP_INV = pow(_STEP, -1, 1 << 64)
 BLOCK = "part int, rids binary, counts binary, gaps binary, keys binary"
 NAMES = ["part", "rids", "counts", "gaps", "keys"]
 
@@ -69,13 +70,14 @@ def _unpack(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _windows(h: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, position, hash of the ``size`` words from there) of every position that has so many."""
-    pre = np.zeros(len(h) + 1, U)
-    np.cumsum(h * _power(_STEP, len(h), "w")[: len(h)], out=pre[1:], dtype=U)
     n = np.maximum(np.diff(bounds) - size + 1, 0)
     text = np.repeat(np.arange(len(n)), n)
     pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = bounds[:-1][text] + pos
-    return text, pos, mix((pre[at + size] - pre[at]) * _power(_STEP_INV, len(h) + 1, "v")[at])
+    g = np.zeros(len(at), U)
+    for i in range(size):
+        g = mix(g * U(_STEP) + h[at + i] + U(1))
+    return text, pos, g
 
 
 def _first(start: int, threshold: int, parts: int, width: int):
@@ -141,7 +143,7 @@ def _pair(offset: int, parts: int):
         ok = at < len(place)
         ok[ok] = place[at[ok]] == place[ok] + offset
         key = mix(mix(rank[ok] + U(1)) * U(_STEP) + rank[at[ok]])
-        return pa.Table.from_batches([_pack(_part(key, parts), rid[ok], pos[ok], key, 8)])
+        return pa.Table.from_batches([_pack(_part(key, parts), rid[ok], pos[ok], key, PAIR_WIDTH)])
 
     return run
 
@@ -166,13 +168,13 @@ def repeated_passages(docs: DataFrame, threshold: int = THRESHOLD, doublings: in
     size, _ = text_bytes(slim)
     parts = max(1, math.ceil(size * 1.1 / PARTITION_BYTES))
     h = math.ceil(threshold / 2**doublings)
-    blocks = slim.filter("text IS NOT NULL").mapInArrow(_first(h, threshold, parts, 5), BLOCK)
-    width = 5
+    blocks = slim.filter("text IS NOT NULL").mapInArrow(_first(h, threshold, parts, FIRST_WIDTH), BLOCK)
+    width = FIRST_WIDTH
     while h < threshold:
         ranked = blocks.groupBy("part").applyInArrow(_rank(parts, width, 8), BLOCK)
         offset = min(h, threshold - h)
         blocks = ranked.groupBy("part").applyInArrow(_pair(offset, parts), BLOCK)
-        h, width = h + offset, 8
+        h, width = h + offset, PAIR_WIDTH
     ended = blocks.groupBy("part").applyInArrow(_rank(parts, width, 1), BLOCK)
     spans = ended.groupBy("part").applyInArrow(_spans(threshold), "rid bigint, start_word bigint, end_word bigint")
     if kind == "clean":
