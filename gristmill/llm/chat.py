@@ -8,7 +8,8 @@ Repeated history gives way to the new turn: it keeps the turns nearest to it tha
 
 Defined cases: a turn that the budget can't hold beside the system turn has a window of its own, whole, marked over_budget
 (a system turn that is itself over the budget is dropped from later windows); turns go by number (NULL first), then role and
-text; rows equal in all four columns count once; a NULL text is empty; a NULL role is user; rows with a NULL conv_id belong to no
+text; rows equal in all four columns count once; a NULL text is empty; a NULL or empty role is user (a turn of its own beside one of
+the same number and text whose role is user); rows with a NULL conv_id belong to no
 conversation and are left out; other columns take no part; an empty table gives an empty result.
 """
 
@@ -77,16 +78,17 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in batches:
-            role, text = [r or "user" for r in b.column("role").to_pylist()], b.column("text").to_pylist()
+            said, text = b.column("role").to_pylist(), b.column("text").to_pylist()
+            role = [r or "user" for r in said]
             heads = [f"<|{r}|>\n" for r in role]
             body = pa.array([x or "" for x in text], pa.large_string())
             pieces = [enc.encode(pa.array(x, pa.large_string())) for x in (heads, body, ["<|end|>\n"] * len(role))]
             for i, (conv, turn) in enumerate(zip(b.column("conv_id").to_pylist(), b.column("turn").to_pylist())):
                 if held and conv != last[0]:
                     close()
-                elif held and (turn, role[i], text[i]) == last[1]:
+                elif held and (turn, said[i], text[i]) == last[1]:
                     continue
-                last[0], last[1] = conv, (turn, role[i], text[i])
+                last[0], last[1] = conv, (turn, said[i], text[i])
                 h, t, e = (ids[x[i] : x[i + 1]] for ids, x in pieces)
                 target = np.full(len(t) + len(e), role[i] == "assistant", np.int8)
                 held.append((role[i], np.concatenate([h, t, e]), np.concatenate([np.zeros(len(h), np.int8), target])))

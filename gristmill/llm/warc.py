@@ -10,11 +10,13 @@ attempt that Spark accepts, so a lost executor or a second attempt leaves no hal
 
 Defined cases: a NULL url gives a record without WARC-Target-URI; NULL html an empty payload; a NULL page_id a record
 without a page id; repeated rows are records of their own; members concatenated in a file are read as one stream; a
-record whose stream ends early raises an error; other columns take no part; an empty table gives no file and an empty index.
+record whose stream ends early, whose Content-Length is missing or no number, or whose header has no end within ``HEAD`` bytes raises
+an error; other columns take no part; an empty table gives no file and an empty index.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 import zlib
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import scratch_path, written
 
 PIECE = 1 << 20
+#: The longest header of a record.
+HEAD = 1 << 20
 LEVEL = 6
 FILES = "path string, records bigint, raw_bytes bigint"
 INDEX = "page_id bigint, url string, record_type string, file string, record bigint, offset bigint, length bigint, payload_bytes bigint"
@@ -70,54 +74,65 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
 
 
 class _Inflated:
-    """A stream of inflated bytes, read by line and by length."""
+    """A stream of inflated bytes, read by header and by length. What is read moves a mark; the buffer is cut a piece at a time."""
 
     def __init__(self, source):
-        self.source, self.z, self.buffer, self.done = source, zlib.decompressobj(31), b"", False
-        self.rest = b""
+        self.source, self.z, self.buffer, self.at = source, zlib.decompressobj(31), bytearray(), 0
+        self.rest, self.began, self.done = b"", False, False
 
     def _more(self) -> bool:
         while not self.done:
             data = self.rest or self.source.read(PIECE)
             self.rest = b""
             if not data:
-                if not self.z.eof and self.z is not None and self._began:
+                if self.began and not self.z.eof:
                     raise EOFError("the gzip stream ends early")
                 self.done = True
                 return False
             if self.z.eof:
                 self.z = zlib.decompressobj(31)
-            self._began = True
+            self.began = True
             got = self.z.decompress(data, PIECE)
             self.rest = self.z.unconsumed_tail or self.z.unused_data
             if got:
+                if self.at >= PIECE or self.at == len(self.buffer):
+                    del self.buffer[: self.at]
+                    self.at = 0
                 self.buffer += got
                 return True
         return False
 
-    _began = False
-
     def head(self) -> bytes | None:
         """Up to and with the next empty line; None at the end."""
         seen = 0
-        while (at := self.buffer.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
-            seen = len(self.buffer)
+        while (end := self.buffer.find(b"\r\n\r\n", self.at + max(0, seen - 3))) < 0:
+            seen = len(self.buffer) - self.at
+            if seen > HEAD:
+                raise ValueError(f"a record's header has no end within {HEAD} bytes")
             if not self._more():
-                if self.buffer.strip():
+                if self.buffer[self.at :].strip():
                     raise EOFError("a record's header ends early")
                 return None
-        out, self.buffer = self.buffer[: at + 4], self.buffer[at + 4 :]
+        out, self.at = bytes(self.buffer[self.at : end + 4]), end + 4
         return out
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:
-            if not self.buffer and not self._more():
+            if self.at == len(self.buffer) and not self._more():
                 raise EOFError("a record ends early")
-            piece, self.buffer = self.buffer[:n], self.buffer[n:]
+            piece = bytes(self.buffer[self.at : self.at + n])
+            self.at += len(piece)
             n -= len(piece)
             yield piece
 
 
+def _length(fields: dict[str, str]) -> int:
+    n = fields.get("content-length", "")
+    if not (n.isascii() and n.isdigit()):
+        raise ValueError(f"a record without a valid Content-Length: {n!r}")
+    return int(n)
+
+
 def records(source) -> Iterator[tuple[bytes, dict[str, str], Callable[[], Iterator[bytes]]]]:
     """(header bytes, header fields by lower-case name, reader of the payload and its end) of each record of an inflated stream."""
     s = _Inflated(source)
@@ -128,7 +143,7 @@ def records(source) -> Iterator[tuple[bytes, dict[str, str], Callable[[], Iterat
             k, _, v = line.partition(":")
             if k:
                 fields[k.strip().lower()] = v.strip()
-        yield raw, fields, lambda n=int(fields.get("content-length", 0)): s.take(n + 4)
+        yield raw, fields, lambda n=_length(fields): s.take(n + 4)
 
 
 def normalise(files: DataFrame, folder: str) -> DataFrame:
@@ -147,7 +162,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                     for raw, fields, payload in records(source):
                         gz = zlib.compressobj(LEVEL, wbits=31)
                         size = 0
-                        for piece in (raw, *payload()) if int(fields.get("content-length", 0)) < PIECE else _chain(raw, payload()):
+                        for piece in itertools.chain((raw,), payload()):
                             c = gz.compress(piece)
                             out.write(c)
                             size += len(c)
@@ -155,7 +170,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                         out.write(c)
                         size += len(c)
                         page = fields.get("warc-record-id", "").removeprefix("<urn:page:").removesuffix(">")
-                        row = (int(page) if page.lstrip("-").isdigit() else None, fields.get("warc-target-uri"), fields.get("warc-type"), name, n, at, size, int(fields.get("content-length", 0)))
+                        row = (int(page) if page.lstrip("-").isdigit() else None, fields.get("warc-target-uri"), fields.get("warc-type"), name, n, at, size, _length(fields))
                         side.write((json.dumps({"url": row[1], "type": row[2], "offset": at, "length": size}) + "\n").encode())
                         rows.append(row)
                         at, n = at + size, n + 1
@@ -169,11 +184,6 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
     return spread.mapInArrow(run, INDEX)
 
 
-def _chain(raw: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
-    yield raw
-    yield from rest
-
-
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4]
     out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in INDEX.split(", ")])
