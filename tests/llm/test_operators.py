@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, exact_dedup, jaccard_join, licenses, mixing, packing, quality, suffix_dedup, token_output, tokens, warc
+from gristmill.llm import chat, common, exact_dedup, jaccard_join, licenses, mixing, packing, quality, suffix_dedup, token_output, tokens, warc
 from gristmill.llm.license_rules import rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, rid long, n int, gid long, copies int, score double"
@@ -167,7 +168,7 @@ def test_near_dedup_awkward(docs, none):
     texts = [r[1] for r in kept.elements()]
     assert sum(t is None for t in texts) == 1 and texts.count("") == 1
     ids = list(enumerate(texts))
-    assert not brute_pairs(ids, 1, 0.8)
+    assert not brute_pairs(ids, jaccard_join.N, jaccard_join.THRESHOLD)
     assert {r[1] for r in rows if r[1] in ("only", "other text")} <= set(texts)
     assert jaccard_join.drop_near_duplicates(none).count() == 0 and jaccard_join.similar_pairs(none).count() == 0
 
@@ -220,32 +221,77 @@ def test_quality_rules(spark, docs, none):
 # -- 8
 
 
-def test_mixing(docs, clean, none):
-    got = {(r.doc_id, r.source): (r.n_tokens, r.copies) for r in mixing.mix_plan(clean, {"a": 5, "b": 1}, 200).collect()}
-    have = collections.Counter()
-    for r in awkward()[:-5]:
-        have[r[3]] += len(words(r[1]))
-    total = sum(have.values()) * 2
-    spent = collections.Counter()
-    for (_, s), (n, c) in got.items():
-        spent[s] += n * c
-    assert set(spent) <= {"a", "b"} and spent["a"] <= total * 5 // 6 and spent["b"] <= total // 6
-    for s, budget in (("a", total * 5 // 6), ("b", total // 6)):
-        copies = {r[0]: got.get((r[0], s), (0, 0))[1] for r in awkward()[:-5] if r[3] == s and words(r[1])}
-        assert set(copies.values()) <= {budget // have[s], budget // have[s] + 1}
-    out = rows_of(mixing.mix(docs))
-    assert not set(out) - set(awkward()) and mixing.mix(none).count() == 0 and mixing.mix_plan(none).count() == 0
+def brute_mix(rows, weights, percent, count, weigh):
+    """{number of the row: copies}: keys, full sort and prefix sums by source. rows: (rid, text, source)."""
+    def mixed32(x):
+        h = (x * 2654435761) % 2**32
+        for shift in (16, 15):
+            h = ((h ^ (h >> shift)) * 1597334677) % 2**32
+        return h ^ (h >> 16)
+
+    have, drawn, out = collections.Counter(), collections.defaultdict(list), {}
+    for i, text, source in rows:
+        if text and count(text) and weigh(text) > 0:
+            h1 = mixed32((i + mixing.SEED) % 2**31)
+            h2 = mixed32((h1 >> 1) ^ ((i >> 31) % 2**31))
+            u = (h1 * 2**20 + (h2 >> 12) + 0.5) / 2**52
+            have[source] += count(text)
+            drawn[source].append((-math.log(u) / weigh(text), i, count(text)))
+    w = {s: math.isqrt(n) if weights is None else weights.get(s, 0) for s, n in have.items()}
+    for s, keys in drawn.items():
+        budget = (sum(have.values()) * percent // 100) * w[s] // sum(w.values())
+        epochs, rest = divmod(budget, have[s])
+        for _, i, n in sorted(keys):
+            rest -= n
+            out[i] = epochs + (rest >= 0)
+    return {i: c for i, c in out.items() if c}
+
+
+def letters(t):
+    return (sum(c.isalpha() for c in t) + 1) / (len(t) + 1)
+
+
+@pytest.mark.parametrize("weights,percent", [(None, 100), ({"a": 5, "b": 1}, 200), ({"a": 1}, 50)])
+@pytest.mark.parametrize("unit", ["words", tokens.PATH])
+def test_mixing(docs, clean, weights, percent, unit):
+    enc = tokens.Encoder(tokens.PATH)
+    count = (lambda t: len(words(t))) if unit == "words" else lambda t: len(enc.bpe.encode_ordinary(t))
+    rows = awkward()[:-5]
+    want = brute_mix([(r[0], r[1], r[3]) for r in rows], weights, percent, count, letters)
+    got = {r.doc_id: (r.source, r.n_tokens, r.copies) for r in mixing.mix_plan(clean, weights, percent, unit=unit).collect()}
+    assert got == {i: (rows[i][3], count(rows[i][1]), c) for i, c in want.items()}
+    assert rows_of(mixing.mix(clean, weights, percent, unit=unit)) == collections.Counter({rows[i]: c for i, c in want.items()})
+    # repeated rows and NULL ids, numbered by id and the other columns' JSON: the same number of copies of each as a brute-force draw
+    numbered = {r.rid: tuple(r.row) for r in common.with_row_id(docs)[0].collect()}
+    want = brute_mix([(i, r[1], r[3]) for i, r in numbered.items()], weights, percent, count, letters)
+    drawn = collections.Counter()
+    for i, c in want.items():
+        drawn[numbered[i]] += c
+    assert rows_of(mixing.mix(docs, weights, percent, unit=unit)) == drawn
+
+
+def test_mixing_by_a_quality_column(spark, none):
+    rows = [(i, f"word{i} " * (i % 7 + 1), "a", [None, 0.0, -1.0, 0.5, 2.0][i % 5]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
+    want = brute_mix([(i, t, s) for i, t, s, q in rows if q and q > 0], None, 50, lambda t: len(words(t)), lambda t: next(q for _, x, _, q in rows if x == t and q and q > 0))
+    weight = {i: q for i, _, _, q in rows}
+    got = {r.doc_id: r.copies for r in mixing.mix_plan(df, None, 50, unit="words", quality="q").collect()}
+    assert all(weight[i] and weight[i] > 0 for i in got) and len(want) > 10
+    heavy, light = sum(weight[i] == 2.0 for i in got), sum(weight[i] == 0.5 for i in got)
+    assert heavy > light > 0
+    assert mixing.mix(none).count() == 0 and mixing.mix_plan(none).count() == 0
 
 
 # -- 9
 
 
 def test_packing(docs, none):
+    enc = tokens.Encoder(tokens.PATH)
     got = packing.pack(docs, 512, 100, 4000).collect()
     left = collections.Counter()
     for r in awkward():
-        if words(r[1]):
-            left[r[0]] += len(words(r[1]))
+        if r[1]:
+            left[r[0]] += len(enc.bpe.encode_ordinary(r[1]))
     used, room = collections.Counter(), collections.defaultdict(list)
     for r in got:
         used[r.doc_id] += r.n_tokens
@@ -258,6 +304,22 @@ def test_packing(docs, none):
             at += n
         assert at <= 512
     assert packing.pack(none).count() == 0
+    # a column of token counts in place of the tokenizer
+    by_column = packing.pack(docs, 512, 100, 4000, tokens="n_chars").collect()
+    assert sum(r.n_tokens for r in by_column) == sum(r[4] or 0 for r in awkward())
+
+
+def test_no_sequence_exceeds_the_capacity_in_tokens(spark):
+    """On the driver's documents, with production parameters, counted by the tokenizer itself."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    enc = tokens.Encoder(tokens.PATH)
+    ids = {r.doc_id: enc.bpe.encode_ordinary(r.text or "") for r in docs.collect()}
+    full, pieces = collections.Counter(), collections.defaultdict(list)
+    for r in packing.pack(docs).collect():
+        full[r.shard, r.sequence] += len(ids[r.doc_id][r.doc_start : r.doc_start + r.n_tokens])
+        pieces[r.doc_id].append((r.doc_start, r.n_tokens))
+    assert max(full.values()) <= packing.CAPACITY
+    assert {i: sum(n for _, n in p) for i, p in pieces.items()} == {i: len(x) for i, x in ids.items() if x}
 
 
 def test_assign_is_the_greedy_one():
