@@ -4,15 +4,18 @@ Two documents join if the Jaccard similarity of their sets of word n-grams is at
 with |r| <= |s| <= |r| / t the symmetric difference is at most H = (1-t)/t * |r|.
 
 * Size bands: sizes are cut into bands of ratio 1/t. Band b serves the pairs whose smaller set lies in it, so a set is
-  indexed in its own band and in the next lower one; H of a band is that of its largest size.
+  indexed in its own band and in the next lower one. H of a set in a band is that of its own size, or of the band's largest if that is less.
 * Universe partition: in a band the universe of grams is hashed into m segments; a set's subset in a segment has a
   signature. With allowance v = 1 a segment is indexed by its subset; with v = 2 also by its one-deletion neighbourhood
   (each subset less one gram), which finds subsets that differ by one gram. If no segment of a pair is found, its
   difference is at least the sum of allowances; so allowances of H + 1 in all find every pair.
+* Frequent grams: a gram that more than ``FREQUENT`` of the documents hold (counted over all of them) takes no part in the segments,
+  else documents would meet by the thousand for a common phrase. Leaving the same grams out of both sets only lowers their
+  difference, so H still bounds it and no pair is lost; what a set then lacks counts as its loss.
 * Subsets of at most q grams (empty ones above all) would match everywhere: they get allowance 0. What a set loses
   so (v for each segment it skips, 1 for each subset of q + 1 grams where v = 2) must be covered by slack in the number
   of segments. A set that loses more than the slack repeats its band with another partition, and after ``ROUNDS``
-  partitions it indexes the single grams of its prefix (|x| - ceil(t|x|) + 1 of them). A pair is found in the first round in
+  partitions (at once where no allocation covers a band's sets) it indexes the single grams of its prefix (|x| - ceil(t|x|) + 1 of them, frequent ones last). A pair is found in the first round in
   which either of its sets is covered, or by a prefix gram: nothing is missed.
 * Cost-based allocation: for each band v, q and m are chosen by an estimate of signatures written plus candidates
   checked.
@@ -53,6 +56,14 @@ PARTITION_BYTES = 32 << 20
 #: Bytes of text to a gram, for the share of the partitions that a band gets; nothing else depends on it.
 GRAM_BYTES = 7
 FLUSH = 1 << 19
+#: Share of the documents, and their least number, from which on a gram is frequent. At most (grams of a document) / FREQUENT grams
+#: are, whatever the input.
+FREQUENT = 1 / 1000
+LEAST_FREQUENT = 64
+#: Share of a set's other grams that an unrelated set has too, for the costs.
+OVERLAP = 0.0005
+#: Grams that a task counts side by side; only those above the share among them are added up over all tasks.
+COUNTED = 1 << 21
 #: What checking a candidate by its parity map costs against writing, moving and sorting a signature.
 CANDIDATE_COST = 0.1
 #: Signatures of a reducer whose partners are looked up side by side.
@@ -66,11 +77,16 @@ _48 = U((1 << 48) - 1)
 
 
 class Plan:
-    """Bands of sizes and, for each band, (v, q, m, slack): see the module. ``rows`` only weighs the costs."""
+    """Bands of sizes and, for each band, (v, q, m, slack): see the module. Other arguments than the threshold only weigh costs."""
 
-    def __init__(self, threshold: float, rows: int = 1 << 20):
-        self.t, self.rows = threshold, max(rows, 1)
-        self._bands: dict[int, tuple[int, int, int, int, int]] = {}
+    def __init__(self, threshold: float, rows: int = 1 << 20, cold: float = 1.0, overlap: float = 0.15):
+        """cold: share of a set's grams that aren't frequent; overlap: share of them that an unrelated set has too."""
+        self.t, self.rows, self.cold, self.overlap = threshold, max(rows, 1), cold, overlap
+        self._bands: dict[int, tuple[int, int, int, int]] = {}
+
+    def need(self, size: np.ndarray | int) -> np.ndarray:
+        """The least sum of allowances that finds every partner of which the smaller set has at most this size."""
+        return np.floor((1 - self.t) / self.t * np.asarray(size) + 1e-9).astype(np.int64) + 1
 
     def band(self, size: np.ndarray) -> np.ndarray:
         return np.floor(np.log(np.maximum(size, 1)) / math.log(1 / self.t) + 1e-9).astype(np.int64)
@@ -80,34 +96,39 @@ class Plan:
         return self.band(np.ceil(size * self.t - 1e-9))
 
     def allocation(self, b: int) -> tuple[int, int, int, int]:
+        """(v, q, m, largest size of the band); m = 0: the band is indexed by prefixes alone."""
         if b not in self._bands:
             lo = max(1, math.ceil((1 / self.t) ** (b - 1e-9) - 1e-9))
             hi = max(lo, math.floor((1 / self.t) ** (b + 1 + 1e-9)))
-            need = math.floor((1 - self.t) / self.t * hi + 1e-9) + 1
-            self._bands[b] = min(self._options(lo, hi, need))[1]
+            self._bands[b] = (*min(self._options(lo, hi))[1], hi)
         return self._bands[b]
 
-    def _options(self, lo: int, hi: int, need: int) -> Iterator[tuple[float, tuple[int, int, int, int]]]:
-        yield 1e300 if need > 1 else 0.0, (1, 0, need, 0)
+    def _options(self, lo: int, hi: int) -> Iterator[tuple[float, tuple[int, int, int]]]:
+        need = int(self.need(hi))
+        yield 1e300 if need > 1 else 0.0, (1, 0, 0 if need > 1 else 1)
         for v in (1, 2):
             for q in range(5):
                 base = math.ceil(need / v)
                 for m in range(base, 4 * base + 8):
-                    k = lo / m  # the smallest sets of the band lose most
-                    p = [math.exp(-k) * k**i / math.factorial(i) for i in range(q + 2)]
-                    per = v * sum(p[: q + 1]) + (p[q + 1] if v == 2 else 0)
-                    slack = v * m - need
-                    if per * m + 2.3 * v * math.sqrt(per * m) <= slack:
-                        size = (lo + hi) / 2
+                    if all(self._covered(size, v, q, m) for size in (lo, hi)):
+                        size = (lo + hi) / 2 * self.cold
                         k = size / m
-                        signatures = m + (size if v == 2 else 0)
+                        p = [math.exp(-k) * k**i / math.factorial(i) for i in range(q + 1)]
+                        signatures = m * (1 - sum(p)) + (size - m * sum(i * x for i, x in enumerate(p)) if v == 2 else 0)
                         apart = 1.6 * k  # grams of an unrelated pair in a segment that only one of the two has
                         equal = math.exp(-apart) * (1 + apart if v == 2 else 1)
-                        both = 0.15 * k
+                        both = self.overlap * k
                         some = 1 - sum(math.exp(-both) * both**i / math.factorial(i) for i in range(q + 1))
-                        yield signatures + CANDIDATE_COST * self.rows / 16 * m * equal * some, (v, q, m, slack)
+                        yield signatures + CANDIDATE_COST * self.rows / 16 * m * equal * some, (v, q, m)
                         break
 
+    def _covered(self, size: int, v: int, q: int, m: int) -> bool:
+        """Whether most sets of this size lose no more than their slack."""
+        k = size * self.cold / m
+        p = [math.exp(-k) * k**i / math.factorial(i) for i in range(q + 2)]
+        per = v * sum(p[: q + 1]) + (p[q + 1] if v == 2 else 0)
+        return per * m + 1.6 * v * math.sqrt(per * m) <= v * m - int(self.need(size))
+
 
 def _flat_segments(h: np.ndarray, doc: np.ndarray, seed: int, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gram hash, set, segment), by set and segment. h: 48-bit, sorted within a set; m: segments for each gram's set."""
@@ -134,33 +155,53 @@ class Spread:
         return np.minimum((self.first[b] + (key >> U(32)).astype(float) / (1 << 32) * self.width[b]).astype(np.int64), self.parts - 1)
 
 
-def signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(key, set) of every signature. h: the distinct 48-bit grams, sorted within each set; an exact subset's key is odd, a deletion's even."""
-    return _signatures(h, bounds, plan)[:2]
+    return _signatures(h, bounds, plan, frequent)[:2]
+
 
+def _is_frequent(h: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
+    if frequent is None or not len(frequent):
+        return np.zeros(len(h), bool)
+    likely = np.zeros(1 << 20, bool)
+    likely[frequent & U((1 << 20) - 1)] = True
+    hot = likely[h & U((1 << 20) - 1)]
+    at = np.flatnonzero(hot)
+    hot[at] = frequent[np.minimum(np.searchsorted(frequent, h[at]), len(frequent) - 1)] == h[at]
+    return hot
 
-def _signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``signatures`` with the band of each."""
+
+def _signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``signatures`` with the band of each. frequent: sorted grams."""
+    hot = _is_frequent(h, frequent)
+    rare = h[~hot]
+    rare_bounds = np.concatenate([[0], np.cumsum(~hot)])[bounds]
     sizes = np.diff(bounds)
     own, low = plan.band(sizes), plan.lowest(sizes)
     keys, sets, bands = [], [], []
     for b in np.unique(np.concatenate([own, low])):
-        v, q, m, slack = plan.allocation(int(b))
+        v, q, m, hi = plan.allocation(int(b))
+        slack = v * m - plan.need(np.minimum(sizes, hi))
         todo = np.flatnonzero((sizes > 0) & (low <= b) & (own >= b))
-        for seed in range(ROUNDS + 1):
+        for seed in range(ROUNDS + 1) if m else (ROUNDS,):
             if not len(todo):
                 break
-            n = sizes[todo]
-            local = np.repeat(np.arange(len(todo)), n)
-            at = np.repeat(bounds[todo], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             space = mix(np.array([(int(b) << 8) + seed + 1], dtype=U))[0]
             if seed == ROUNDS:
+                n = sizes[todo]
+                local = np.repeat(np.arange(len(todo)), n)
+                at = _spans(bounds[todo], n)
+                at = at[np.lexsort((h[at], hot[at], local))]
                 rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                 use = rank < np.repeat(n - np.ceil(n * plan.t - 1e-9).astype(np.int64) + 1, n)
                 keys.append(mix(h[at[use]] ^ space) | U(1))
                 sets.append(todo[local[use]])
                 break
-            g, owner, seg = _flat_segments(h[at], local, seed, np.full(len(at), m))
+            n = np.diff(rare_bounds)[todo]
+            local = np.repeat(np.arange(len(todo)), n)
+            if not len(local):
+                continue
+            g, owner, seg = _flat_segments(rare[_spans(rare_bounds[todo], n)], local, seed, np.full(len(local), m))
             first = np.empty(len(g), bool)
             first[0] = True
             first[1:] = (owner[1:] != owner[:-1]) | (seg[1:] != seg[:-1])
@@ -181,7 +222,7 @@ def _signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan) -> tuple[np.ndarr
                 use = keep[which] & (count[which] > 1)
                 keys.append(mix((total[which[use]] - mixed[use]) ^ place[which[use]]) & ~U(1))
                 sets.append(todo[owner[use]])
-            todo = todo[loss > slack]
+            todo = todo[loss > slack[todo]]
         bands.extend([int(b)] * (len(keys) - len(bands)))
     if not keys:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -202,8 +243,8 @@ def gram_sets(texts: pa.Array, n: int, seed: int = 0) -> tuple[np.ndarray, np.nd
 
 
 def _bits(size: np.ndarray) -> np.ndarray:
-    """log2 of the bits of a parity map for a set of this size: between 0.7 and 1.4 times of it, 64 at least."""
-    return np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) * 0.7) - 1e-9)).astype(np.int64)
+    """log2 of the bits of a parity map for a set of this size: its size to twice that, 64 at least."""
+    return np.maximum(6, np.ceil(np.log2(np.maximum(size, 1)) - 1e-9)).astype(np.int64)
 
 
 def _parity(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -254,10 +295,49 @@ class _Maps:
         return ok
 
 
+def _counted(n: int, share: float, seed: int):
+    """Grams of as many documents as hold COUNTED of them: those above the share with their number of documents, and under -1 the number of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, grams, docs = [], 0, 0
+
+        def counts() -> pa.RecordBatch:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            keep = c >= max(2.0, share * docs)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.append(u[keep].astype(np.int64), -1)), pa.array(np.append(c[keep], grams))], ["gram", "c"])
+
+        for batch in batches:
+            texts = batch.column("text")
+            for a, z in chunks(texts):
+                for a2 in range(a, z, 60_000):
+                    part = texts.slice(a2, min(z, a2 + 60_000) - a2)
+                    h, bounds = gram_sets(part, n, seed)
+                    held.append(h)
+                    grams, docs = grams + len(h), docs + len(part)
+                    if grams >= COUNTED:
+                        yield counts()
+                        grams = docs = 0
+        if held:
+            yield counts()
+
+    return run
+
+
+def _frequent(slim: DataFrame, n: int, rows: int, seed: int) -> tuple[np.ndarray, float]:
+    """(sorted frequent grams, share of all grams that the others are)."""
+    c = slim.filter("text IS NOT NULL").select("text").mapInArrow(_counted(n, FREQUENT, seed), "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+    # bounded by (grams of a document) / FREQUENT rows
+    found = c.filter(F.col("c") >= max(LEAST_FREQUENT, FREQUENT * rows)).toArrow()
+    gram, count = found["gram"].to_numpy(), found["c"].to_numpy()
+    total = int(count[gram < 0].sum())
+    return np.sort(gram[gram >= 0]).astype(U), 1 - int(count[gram >= 0].sum()) / max(total, 1)
+
+
 BLOCK = "part int, keys binary, counts binary, rids binary, sizes binary, prints binary, maps binary"
 
 
-def _blocks(n: int, plan: Plan, spread: Spread, seed: int):
+def _blocks(n: int, plan: Plan, spread: Spread, frequent: np.ndarray, seed: int):
     """Map side: (rid, text) batches to packed blocks of signatures for each partition."""
 
     def flush(held: list, arrays: dict) -> pa.RecordBatch:
@@ -297,7 +377,7 @@ def _blocks(n: int, plan: Plan, spread: Spread, seed: int):
                     mark = np.zeros(z2 - a2, U)
                     if len(some):
                         mark[some] = np.add.reduceat(mix(h), bounds[:-1][some])
-                    key, doc, band = _signatures(h, bounds, plan)
+                    key, doc, band = _signatures(h, bounds, plan, frequent)
                     held.append((key, (doc + docs).astype(np.int32), spread.part(key, band).astype(np.int32)))
                     arrays["rid"].append(rids[a2:z2].astype(np.int64))
                     arrays["size"].append(size)
@@ -490,9 +570,10 @@ def _twins_and_near(keyed: DataFrame, n: int, threshold: float, seed: int = 0) -
     of the least documents of distinct sets, a < b; the similarity in millionths, rounded down."""
     slim = keyed.select("rid", F.col("row").getField("text").alias("text"))
     mass, size, rows = _sizes(slim, threshold)
-    plan = Plan(threshold, rows)
+    frequent, cold = _frequent(slim, n, rows, seed)
+    plan = Plan(threshold, rows, cold, OVERLAP)
     spread = Spread(mass, max(1, math.ceil(size / PARTITION_BYTES)))
-    blocks = slim.filter("text IS NOT NULL").mapInArrow(_blocks(n, plan, spread, seed), BLOCK)
+    blocks = slim.filter("text IS NOT NULL").mapInArrow(_blocks(n, plan, spread, frequent, seed), BLOCK)
     found = blocks.groupBy("part").applyInArrow(_candidates(threshold), "a bigint, b bigint, same boolean")
     # copies and pairs are reported by several partitions; a copy's least leader over all of them is its own
     found = written(found.distinct(), "candidates")
