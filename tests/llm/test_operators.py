@@ -91,8 +91,10 @@ def brute_pairs(rows, n, t):
     return out
 
 
-@pytest.mark.parametrize("n,t", [(1, 0.8), (1, 0.5), (2, 0.7), (3, 0.9)])
-def test_jaccard_join(spark, n, t):
+@pytest.mark.parametrize("n,t,frequent", [(1, 0.8, 64), (1, 0.5, 5), (2, 0.7, 64), (2, 0.7, 3), (3, 0.9, 64)])
+def test_jaccard_join(spark, monkeypatch, n, t, frequent):
+    """With and without frequent grams, which take no part in the segments."""
+    monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", frequent)
     rng = random.Random(n)
     rows = []
     for _ in range(40):
@@ -140,11 +142,12 @@ def test_jaccard_join_returns_every_pair_of_documents(spark, docs, none, monkeyp
 
 
 @pytest.mark.parametrize("rows", [1, 1 << 40])
-def test_every_allocation_finds_every_pair(rows):
-    """Signatures alone, for cheap and for dear candidates: similar sets share one, one of them of a whole subset."""
+@pytest.mark.parametrize("leave_out", [0, 6, 1])
+def test_every_allocation_finds_every_pair(rows, leave_out):
+    """Signatures alone, for cheap and for dear candidates: similar sets share one, one of them of a whole subset. leave_out: every so manieth gram is frequent."""
     rng = np.random.default_rng(3)
-    for t in (0.5, 0.8, 0.9):
-        plan = jaccard_join.Plan(t, rows)
+    for t in (0.5, 0.7, 0.8, 0.9):
+        plan = jaccard_join.Plan(t, rows, 1 - 1 / leave_out if leave_out > 1 else 1.0, 0.0005 if leave_out else 0.15)
         for size in [*range(1, 40), 75, 150, 400]:
             base = rng.integers(0, 1 << 48, size + 60, dtype=np.uint64)
             most = int((1 - t) * size / (1 + t))
@@ -156,7 +159,7 @@ def test_every_allocation_finds_every_pair(rows):
                 if both < t * (len(a) + len(b) - both) - 1e-9:
                     continue
                 sets = [np.unique(a), np.unique(b)]
-                key, who = jaccard_join.signatures(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), plan)
+                key, who = jaccard_join.signatures(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), plan, np.sort(base[::leave_out]) if leave_out else None)
                 x, y = set((key[who == 0] >> np.uint64(1)).tolist()), set((key[who == 1] >> np.uint64(1)).tolist())
                 assert x & y, (t, size, gone)
 
