@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,9 +60,61 @@ def tuple_hash(*columns: Column) -> Column:
     return acc
 
 
-def row_hash(*columns: Column) -> Column:
-    """64-bit hash for physical partitioning where the bits themselves don't matter."""
-    return F.xxhash64(*columns)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it: an expression tree would repeat it at each place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _halves(c: Column) -> tuple[Column, Column]:
+    return c.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(c, 32)
+
+
+def _joined(lo: Column, hi: Column) -> Column:
+    hi = (hi + F.shiftrightunsigned(lo, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(hi, 32).bitwiseOR(lo.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def _times(c: Column, factor: int) -> Column:
+    """Wrapping 64-bit product, by 32-bit halves of ``c`` and 16-bit digits of the factor, so that ANSI mode never overflows."""
+    m = [F.lit((factor >> (16 * i)) & 0xFFFF).cast("bigint") for i in range(4)]
+    low16, low32 = F.lit(0xFFFF), F.lit(0xFFFFFFFF)
+
+    def product(v: Column) -> Column:
+        a0, a1 = _halves(v)
+        lo = (a0 * m[0]).bitwiseAND(low32) + F.shiftleft((a0 * m[1]).bitwiseAND(low16), 16)
+        hi = F.shiftrightunsigned(a0 * m[0], 32) + F.shiftrightunsigned(a0 * m[1], 16) + a0 * m[2] + F.shiftleft((a0 * m[3]).bitwiseAND(low16), 16)
+        return _joined(lo, hi + a1 * m[0] + F.shiftleft((a1 * m[1]).bitwiseAND(low16), 16))
+
+    return _let(c, product)
+
+
+def _plus(*terms: Column) -> Column:
+    """Wrapping 64-bit sum."""
+    lo, hi = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    for t in terms:
+        a, b = _halves(t)
+        lo, hi = lo + a, hi + b
+    return _joined(lo, hi)
+
+
+def finalised(c: Column) -> Column:
+    """64-bit multiply and xor-shift finaliser of an integer, as signed bigint. Shifts are of the unsigned value."""
+    m, h = 0xC6A4A7935BD1E995, 0x8445D61A4E774912 ^ (8 * 0xC6A4A7935BD1E995 % (1 << 64))
+
+    def folded(v: Column) -> Column:
+        return _let(v, lambda k: k.bitwiseXOR(F.shiftrightunsigned(k, 47)))
+
+    k = _times(folded(_times(c.cast("bigint"), m)), m)
+    return folded(_times(folded(_times(k.bitwiseXOR(F.lit(h - (1 << 64) if h >> 63 else h)), m)), m))
+
+
+def array_hash(*columns: Column) -> Column:
+    """Left fold of ``finalised`` hashes: seed ^= h + 0x9e3779b9 + (seed << 6) + (seed >> 2), modulo 2^64."""
+    seed = F.lit(0).cast("bigint")
+    for c in columns:
+        h = finalised(c)
+        seed = _let(F.struct(seed.alias("s"), h.alias("h")), lambda x: x["s"].bitwiseXOR(_plus(x["h"], F.lit(0x9E3779B9), F.shiftleft(x["s"], 6), F.shiftrightunsigned(x["s"], 2))))
+    return seed
 
 
 def parity(c: Column) -> Column:

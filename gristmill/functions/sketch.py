@@ -29,9 +29,12 @@ def rank(hash_: Column, bits: int = 64, group_bits: int = 0) -> Column:
     return F.when(rest == 0, bits - 8).otherwise(low + 1).cast("int")
 
 
-def registers(df: DataFrame, hash_: Column, *by: str, bits: int = 64) -> DataFrame:
-    """(by..., reg, rank): the sketch of each group; partial aggregation keeps at most 256 rows a group and task."""
-    return df.select(*by, register(hash_).alias("reg"), rank(hash_, bits).alias("rank")).groupBy(*by, "reg").agg(F.max("rank").alias("rank"))
+def registers(df: DataFrame, hash_: Column, *by: str, bits: int = 64, group_bits: int = 0) -> DataFrame:
+    """(by..., reg, rank): the sketch of each group; partial aggregation keeps at most 256 rows a group and task.
+
+    group_bits: where the groups are the partition groups, the top bits of the hash that are the same within one.
+    """
+    return df.select(*by, register(hash_).alias("reg"), rank(hash_, bits, group_bits).alias("rank")).groupBy(*by, "reg").agg(F.max("rank").alias("rank"))
 
 
 def merge_registers(tables: DataFrame, *by: str) -> DataFrame:
@@ -67,5 +70,8 @@ def native_estimate(sketches: DataFrame, *by: str) -> DataFrame:
     return sketches.select(*by, F.hll_sketch_estimate("sketch").alias("estimate"))
 
 
-def relative_error(registers_: int = REGISTERS) -> float:
-    return 1.04 / math.sqrt(registers_)
+def estimate_of(registers_: dict[int, int]) -> int:
+    """The estimate of one register table, on the driver."""
+    zeros = REGISTERS - len(registers_)
+    raw = ALPHA * REGISTERS * REGISTERS / (sum(2.0**-r for r in registers_.values()) + zeros)
+    return math.floor(REGISTERS * math.log(REGISTERS / zeros) if zeros and raw < 2.5 * REGISTERS else raw)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,11 +24,12 @@ _FUNCTIONS = {
 class Agg:
     """One aggregate of a spec: ``fn`` over ``expr`` (a column name, a Column or a literal), called ``name``.
 
-    ``cast`` fixes the result type; counts are bigint.
+    fn: a name of ``_FUNCTIONS``, or the user's own pair (update over raw input, merge over partial states) of functions from a
+    Column to an aggregate Column. ``cast`` fixes the result type; counts are bigint.
     """
 
     name: str
-    fn: str = "count"
+    fn: str | tuple[Callable[[Column], Column], Callable[[Column], Column]] = "count"
     expr: str | int | Column = 1
     cast: str | None = None
 
@@ -37,11 +38,14 @@ class Agg:
             return F.col(self.expr)
         return self.expr if isinstance(self.expr, Column) else F.lit(self.expr)
 
+    def _pair(self) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+        return _FUNCTIONS[self.fn] if isinstance(self.fn, str) else self.fn
+
     def update(self) -> Column:
-        return self._typed(_FUNCTIONS[self.fn][0](self._input()))
+        return self._typed(self._pair()[0](self._input()))
 
     def merge(self) -> Column:
-        return self._typed(_FUNCTIONS[self.fn][1](F.col(self.name)))
+        return self._typed(self._pair()[1](F.col(self.name)))
 
     def _typed(self, c: Column) -> Column:
         kind = self.cast or ("bigint" if self.fn == "count" else None)

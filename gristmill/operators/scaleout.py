@@ -47,9 +47,34 @@ def remainder_offers(df: DataFrame, inactive: Column) -> DataFrame:
     return split(d, "rem_start", "rem_end", F.col("requested"))
 
 
-def outstanding(sent: Column, answered: Column, hint: Column) -> tuple[Column, Column]:
-    """(tasks a worker still owes an answer for, whether it asks for more workers)."""
-    return sent - answered, hint > 0
+def coordinator_messages(df: DataFrame, inactive: int) -> DataFrame:
+    """What the coordinator sends for a returned range (columns of ``health_check``): (worker, message, lo, hi, nworkers) of TASK_OFFER to the
+    first min(hint, inactive) of the inactive workers 1..inactive, and NO_WORK to each of the others."""
+    requested = F.least(F.col("hint"), F.lit(inactive))
+    d = df.withColumn("requested", requested).withColumn("worker", F.explode(F.sequence(F.lit(1), F.lit(inactive))))
+    offset = F.ceil((F.col("rem_end") - F.col("rem_start")) / F.greatest(F.col("requested"), F.lit(1)))
+    lo = F.col("rem_start") + (F.col("worker") - 1) * offset
+    offer = (F.col("worker") <= F.col("requested")) & (F.col("rem_start") < F.col("rem_end"))
+    return d.select(
+        *[c for c in df.columns if c in ("chunks_done",)],
+        "worker",
+        F.when(offer, F.lit(MESSAGES[0])).otherwise(F.lit(MESSAGES[4])).alias("message"),
+        F.when(offer, lo).cast("bigint").alias("lo"),
+        F.when(offer, F.least(lo + offset, F.col("rem_end"))).cast("bigint").alias("hi"),
+        F.when(offer, F.col("requested") + 1).cast("int").alias("nworkers"),
+    )
+
+
+def auxiliary_worker(messages: DataFrame) -> DataFrame:
+    """``messages`` with what a worker that joins later does: it takes its one task and has finished, or has finished idle."""
+    return messages.withColumn("tasks", (F.col("message") == MESSAGES[0]).cast("int")).withColumn("rows", F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)))
+
+
+def outstanding(messages: DataFrame, order: str, *by: str) -> DataFrame:
+    """Columns message and hint: adds ``outstanding``, offers sent less answers so far, and ``more``, whether the worker asks for help."""
+    w = Window.partitionBy(*by).orderBy(order)
+    sign = F.when(F.col("message") == MESSAGES[0], 1).when(F.col("message") == MESSAGES[1], -1).otherwise(0)
+    return messages.withColumn("outstanding", F.sum(sign).over(w)).withColumn("more", F.coalesce(F.col("hint") > 0, F.lit(False)))
 
 
 def time_ms(groups: Column, workers: Column, threads: Column) -> Column:

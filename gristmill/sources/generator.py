@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 ROWS_PER_PAGE = 25
+CONFIG = "coordinator struct<ip:string,port:string>, workers array<struct<ip:string,port:string>>"
 
 
 def generated(spark: SparkSession, pages: int, groups: int, seed: int = 0) -> DataFrame:
@@ -30,14 +31,23 @@ def generated(spark: SparkSession, pages: int, groups: int, seed: int = 0) -> Da
     return spark.range(pages * ROWS_PER_PAGE).select(*cols)
 
 
-def node_pages(pages: int, nodes: int) -> int:
-    """Pages of each node's slice."""
-    return pages // nodes
+def random_value(kind: T.DataType, row: Column, seed: int) -> Column:
+    """A uniform value of a type from a hash of ``row``: printable characters, integers, floats in [0, 1), structs and arrays of three of them."""
+    bits = F.xxhash64(row, F.lit(seed))
+    if isinstance(kind, T.StructType):
+        return F.struct(*[random_value(f.dataType, row, seed * 31 + i + 1).alias(f.name) for i, f in enumerate(kind)])
+    if isinstance(kind, T.ArrayType):
+        return F.array(*[random_value(kind.elementType, row, seed * 31 + i + 1) for i in range(3)])
+    if isinstance(kind, T.StringType):
+        return F.char(F.lit(33) + F.pmod(bits, F.lit(94)))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (F.pmod(bits, F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))).cast(kind)
+    return F.pmod(bits, F.lit(1 << 31)).cast(kind) if isinstance(kind, T.IntegerType) else bits.cast(kind)
 
 
-def page_numbers(df: DataFrame, *order: str, rows: int = ROWS_PER_PAGE) -> DataFrame:
-    """Page number by an order within the whole table. Analytic only: it numbers through one partition."""
-    return df.withColumn("page", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / rows))
+def node_pages(pages: Column, nodes: Column) -> Column:
+    """Pages of each node's slice."""
+    return F.floor(pages / nodes).cast("bigint")
 
 
 def page_of(position: Column, rows: int = ROWS_PER_PAGE) -> Column:
@@ -47,7 +57,11 @@ def page_of(position: Column, rows: int = ROWS_PER_PAGE) -> Column:
 
 def cluster_config(spark: SparkSession, path: str) -> DataFrame:
     """(role, node, ip, port) of a JSON file {coordinator: {ip, port}, workers: [{ip, port}]}; a worker's node is its index."""
-    c = spark.read.json(path, multiLine=True, schema="coordinator struct<ip:string,port:string>, workers array<struct<ip:string,port:string>>")
+    return cluster_nodes(spark.read.json(path, multiLine=True, schema=CONFIG))
+
+
+def cluster_nodes(c: DataFrame) -> DataFrame:
+    """The same of rows (coordinator, workers)."""
     head = c.select(F.lit("coordinator").alias("role"), F.lit(None).cast("int").alias("node"), "coordinator.*")
     rest = c.select(F.posexplode("workers").alias("node", "w")).select(F.lit("worker").alias("role"), "node", "w.*")
     return head.unionByName(rest)
