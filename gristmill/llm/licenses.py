@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gristmill.llm.license_rules import rules
+from gristmill.llm.license_rules import rules, spelled
 
 SCHEMA = "doc_id bigint, license string, rule string, priority int, start int, stop int, matched string"
 _SPACE = re.compile(r"\s+")
@@ -60,20 +60,21 @@ class Scanner:
             for m in pattern.finditer(flat):
                 a, z = m.span()
                 if z > a:
-                    hits.append((-priority, a - z, i, a, z))
+                    # the license of a rule with a group is read off the match
+                    hits.append((-priority, a - z, i, a, z, lic.format(**{k: spelled(v) for k, v in m.groupdict().items()}) if "{" in lic else lic))
         # Who lies within a suppressed detection lies within its suppressor too, so a detection goes if any one of higher rank
         # contains it. By start, the longest first, containers come before what they contain: one pass with the furthest
         # stop of each priority decides.
-        kept: list[tuple[int, int, int]] = []
+        kept: list[tuple[int, int, int, str]] = []
         furthest: dict[int, int] = {}
-        for p, _, i, a, z in sorted(hits, key=lambda h: (h[3], -h[4], h)):
+        for p, _, i, a, z, lic in sorted(hits, key=lambda h: (h[3], -h[4], h)):
             if not any(q <= p and stop >= z for q, stop in furthest.items()):
-                kept.append((a, z, i))
+                kept.append((a, z, i, lic))
             furthest[p] = max(z, furthest.get(p, 0))
         if not kept:
             return []
         at = _offsets(text) if len(flat) != len(text) else int
-        out = [(self.rules[i][1], self.rules[i][0], self.rules[i][2], at(a), at(z - 1) + 1) for a, z, i in kept]
+        out = [(lic, self.rules[i][0], self.rules[i][2], at(a), at(z - 1) + 1) for a, z, i, lic in kept]
         return sorted(out, key=lambda r: (r[3], -r[4], r[1]))
 
 
