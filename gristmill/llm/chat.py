@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.tokens import PATH, encoder
+from gristmill.llm.worker import tidied_stream
 
 BUDGET = 1024
 HISTORY_TURNS = 4
@@ -101,4 +102,4 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
 
     slim = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text").filter("conv_id IS NOT NULL")
     ordered = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(run, SCHEMA)
+    return ordered.mapInArrow(tidied_stream(run), SCHEMA)

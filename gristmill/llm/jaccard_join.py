@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import drop_rows, join_rows, unpacked, with_row_id, written
 from gristmill.llm.grams import U, chunks, mix, ngrams, planes, unplanes, words
+from gristmill.llm.worker import tidied, tidied_stream
 
 N = 2
 THRESHOLD = 0.7
@@ -326,7 +327,7 @@ def _counted(n: int, share: float, seed: int):
 
 def _frequent(slim: DataFrame, n: int, rows: int, seed: int) -> tuple[np.ndarray, float]:
     """(sorted frequent grams, share of all grams that the others are)."""
-    c = slim.filter("text IS NOT NULL").select("text").mapInArrow(_counted(n, FREQUENT, seed), "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+    c = slim.filter("text IS NOT NULL").select("text").mapInArrow(tidied_stream(_counted(n, FREQUENT, seed)), "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
     # bounded by (grams of a document) / FREQUENT rows
     found = c.filter(F.col("c") >= max(LEAST_FREQUENT, FREQUENT * rows)).toArrow()
     gram, count = found["gram"].to_numpy(), found["c"].to_numpy()
@@ -553,7 +554,7 @@ def _verified(found: DataFrame, slim: DataFrame, n: int, threshold: float) -> Da
     texts = join_rows(slim, need, "rid").select("root", "ca", "cb", F.col("rid").alias("a"), none.cast("bigint").alias("b"), none.cast("boolean").alias("same"), "text")
     tasks = texts.unionByName(pairs.withColumn("text", none.cast("string"))).repartition("root", "ca", "cb")
     tasks = tasks.sortWithinPartitions("root", "ca", "cb", F.col("b").isNotNull(), "a", "b")
-    return tasks.mapInArrow(_verify(n, threshold), "a bigint, b bigint, same boolean, overlap bigint, total bigint")
+    return tasks.mapInArrow(tidied_stream(_verify(n, threshold)), "a bigint, b bigint, same boolean, overlap bigint, total bigint")
 
 
 def _sizes(slim: DataFrame, threshold: float) -> tuple[dict[int, int], int, int]:
@@ -573,8 +574,8 @@ def _twins_and_near(keyed: DataFrame, n: int, threshold: float, seed: int = 0) -
     frequent, cold = _frequent(slim, n, rows, seed)
     plan = Plan(threshold, rows, cold, OVERLAP)
     spread = Spread(mass, max(1, math.ceil(size / PARTITION_BYTES)))
-    blocks = slim.filter("text IS NOT NULL").mapInArrow(_blocks(n, plan, spread, frequent, seed), BLOCK)
-    found = blocks.groupBy("part").applyInArrow(_candidates(threshold), "a bigint, b bigint, same boolean")
+    blocks = slim.filter("text IS NOT NULL").mapInArrow(tidied_stream(_blocks(n, plan, spread, frequent, seed)), BLOCK)
+    found = blocks.groupBy("part").applyInArrow(tidied(_candidates(threshold)), "a bigint, b bigint, same boolean")
     # copies and pairs are reported by several partitions; a copy's least leader over all of them is its own
     found = written(found.distinct(), "candidates")
     found = written(_verified(found, slim, n, threshold), "verified")

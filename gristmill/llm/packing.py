@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import with_row_id, written
 from gristmill.llm.tokens import PATH, token_count
+from gristmill.llm.worker import tidied
 
 CAPACITY = 4096
 LINEAR = 24_576
@@ -76,4 +77,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, linear: int = LINEAR, shard_
         first = np.multiply(t["piece"].to_numpy(), capacity)
         return pa.table({"doc_id": t["doc_id"], "piece": t["piece"], "doc_start": first, "n_tokens": t["k"], "shard": t["shard"], "sequence": seq, "start": start})
 
-    return pieces.groupBy("shard").applyInArrow(run, "doc_id bigint, piece bigint, doc_start bigint, n_tokens bigint, shard bigint, sequence bigint, start bigint")
+    return pieces.groupBy("shard").applyInArrow(tidied(run), "doc_id bigint, piece bigint, doc_start bigint, n_tokens bigint, shard bigint, sequence bigint, start bigint")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import likely_rows, packed, unpacked, written
 from gristmill.llm.grams import _bytes, chunks, words
+from gristmill.llm.worker import tidied
 
 ALPHA = 0.05
 DELTA = 0.05
@@ -77,7 +78,7 @@ def features(texts: pa.Array) -> np.ndarray:
 def _feature_column(text: str) -> Column:
     @F.arrow_udf("array<double>")
     def run(t: pa.Array) -> pa.Array:
-        f = features(t)
+        f = tidied(features)(t)
         return pa.ListArray.from_arrays(np.arange(len(f) + 1, dtype=np.int32) * len(FEATURES), pa.array(f.ravel()))
 
     return run(F.col(text))
@@ -181,7 +182,7 @@ def _scored(docs: DataFrame, labels: DataFrame, alpha: float, delta: float) -> D
 
     @F.arrow_udf("double")
     def run(t: pa.Array) -> pa.Array:
-        f = features(t)
+        f = tidied(features)(t)
         s = score(f, model) if model is not None else np.ones(len(f))
         return pa.array(np.where(f[:, 0] > 0, s, -1.0))
 

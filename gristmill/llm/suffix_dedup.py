@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import text_bytes, with_row_id
 from gristmill.llm.grams import U, chunks, mix, planes, unplanes, words
+from gristmill.llm.worker import tidied, tidied_stream
 
 THRESHOLD = 50
 DOUBLINGS = 3
@@ -168,15 +169,15 @@ def repeated_passages(docs: DataFrame, threshold: int = THRESHOLD, doublings: in
     size, _ = text_bytes(slim)
     parts = max(1, math.ceil(size * 1.1 / PARTITION_BYTES))
     h = math.ceil(threshold / 2**doublings)
-    blocks = slim.filter("text IS NOT NULL").mapInArrow(_first(h, threshold, parts, FIRST_WIDTH), BLOCK)
+    blocks = slim.filter("text IS NOT NULL").mapInArrow(tidied_stream(_first(h, threshold, parts, FIRST_WIDTH)), BLOCK)
     width = FIRST_WIDTH
     while h < threshold:
-        ranked = blocks.groupBy("part").applyInArrow(_rank(parts, width, 8), BLOCK)
+        ranked = blocks.groupBy("part").applyInArrow(tidied(_rank(parts, width, 8)), BLOCK)
         offset = min(h, threshold - h)
-        blocks = ranked.groupBy("part").applyInArrow(_pair(offset, parts), BLOCK)
+        blocks = ranked.groupBy("part").applyInArrow(tidied(_pair(offset, parts)), BLOCK)
         h, width = h + offset, PAIR_WIDTH
-    ended = blocks.groupBy("part").applyInArrow(_rank(parts, width, 1), BLOCK)
-    spans = ended.groupBy("part").applyInArrow(_spans(threshold), "rid bigint, start_word bigint, end_word bigint")
+    ended = blocks.groupBy("part").applyInArrow(tidied(_rank(parts, width, 1)), BLOCK)
+    spans = ended.groupBy("part").applyInArrow(tidied(_spans(threshold)), "rid bigint, start_word bigint, end_word bigint")
     if kind == "clean":
         return spans.withColumnRenamed("rid", "doc_id")
     ids = keyed.select("rid", F.col("row").getField("doc_id").alias("doc_id"))

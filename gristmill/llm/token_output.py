@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.llm.tokens import PATH, encoder
+from gristmill.llm.worker import tidied_stream
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -45,7 +46,7 @@ def tokenized(docs: DataFrame, meta: Sequence[str] = META, tokenizer: str = PATH
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32(), mask=np.append(null, False)) if null.any() else pa.array(bounds, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*[part.column(m) for m in meta], pa.array(np.diff(bounds).astype(np.int32)), lists], [*meta, "n_tokens", "token_ids"])
 
-    return docs.select(*meta, "text").mapInArrow(run, schema)
+    return docs.select(*meta, "text").mapInArrow(tidied_stream(run), schema)
 
 
 def write_tokens(tokens: DataFrame, path: str, encoding: str = "dictionary", row_group: int = ROW_GROUP_BYTES, page: int = PAGE_BYTES, page_rows: int = PAGE_ROWS, cluster: bool = False) -> None:

@@ -18,11 +18,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gristmill.llm.grams import _bytes, chunks
+from gristmill.llm.worker import tidied
 
 PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units that a worker keeps; beyond it the store starts anew.
-UNITS = 1 << 20
+UNITS = 1 << 18
 
 
 class Encoder:
@@ -123,6 +124,6 @@ def token_count(text: Column, path: str = PATH) -> Column:
 
     @F.arrow_udf("bigint")
     def run(t: pa.Array) -> pa.Array:
-        return pa.array(encoder(path).counts(t), pa.int64())
+        return tidied(lambda x: pa.array(encoder(path).counts(x), pa.int64()))(t)
 
     return run(text)
