@@ -10,6 +10,8 @@ owner go to the final one. The result is the same under any policy.
 from __future__ import annotations
 
 import math
+import re
+import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -52,9 +54,13 @@ Policy = Callable[[Run, int, int, int], int]
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where it is unset a local master gets a folder of its own, as in tests; on a cluster that is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="gristmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 

@@ -18,8 +18,9 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.warehouse.dir", os.environ.get("GRISTMILL_WAREHOUSE", "/tmp/gristmill-warehouse"))
     )
+    if "GRISTMILL_WAREHOUSE" in os.environ:
+        builder = builder.config("spark.sql.warehouse.dir", os.environ["GRISTMILL_WAREHOUSE"])
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
