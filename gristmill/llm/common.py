@@ -5,6 +5,8 @@ Ids (``doc_id``, ``conv_id``, ``page_id``) are integers: they are cast to bigint
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +17,14 @@ SIEVE_WORDS = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Without it operators raise."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a session that runs in this one
+    process (a local master, as in tests) gets a folder of its own; on a cluster operators raise."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="gristmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
