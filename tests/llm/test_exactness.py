@@ -162,7 +162,7 @@ def labelled_rows():
     rng, rows, labels = random.Random(8), awkward(), []
     for i in range(1500):
         bad = rng.random() < 0.4
-        noise = rng.random() < 0.1
+        noise = rng.random() < 0.02
         w = prose(rng, rng.randrange(20, 90)).split()
         if bad != noise:
             w = [x + "!#" if rng.random() < 0.3 else x.upper() if rng.random() < 0.3 else x for x in w]
