@@ -100,7 +100,9 @@ def regression_policy(df: DataFrame) -> DataFrame:
 
 def last_history(df: DataFrame, order: str, *by: str, size: int = HISTORY) -> DataFrame:
     """The ring buffer: the last ``size`` checkpoints of each history."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.col(order).desc())
+    if not by:
+        return df.orderBy(F.col(order).desc()).limit(size)  # each task keeps ``size`` rows; nothing is sorted as a whole
+    w = Window.partitionBy(*by).orderBy(F.col(order).desc())
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= size).drop("_rn")
 
 
