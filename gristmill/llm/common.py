@@ -5,29 +5,17 @@ Ids (``doc_id``, ``conv_id``, ``page_id``) are integers: they are cast to bigint
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.plans.chunked import shared_folder
+
 #: 64-bit words of the bitmap that sieves rows before a join: a fixed size, whatever the input.
 SIEVE_WORDS = 1 << 19
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a session that runs in this one
-    process (a local master, as in tests) gets a folder of its own; on a cluster operators raise."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="gristmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 class Scratch:
     """The tables of one run. Nothing is deleted but by its owner, and only what was written within ``with``."""
 
@@ -50,7 +38,7 @@ class Scratch:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if Scratch._open:
         Scratch._open[-1].paths.append(path)
     return path
@@ -142,12 +130,3 @@ def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """(bytes of text, rows) of all documents."""
     r = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)), F.count(F.lit(1))).first()
     return int(r[0]), int(r[1])
-
-
-def mixed32(c: Column) -> Column:
-    """32-bit integer mixer over 0 <= c < 2^31 that SQL engines can repeat."""
-    h = (c * F.lit(2654435761)) % F.lit(1 << 32)
-    for shift, mul in ((16, 1597334677), (15, 1597334677)):
-        h = h.bitwiseXOR(F.shiftright(h, shift))
-        h = (h * F.lit(mul)) % F.lit(1 << 32)
-    return h.bitwiseXOR(F.shiftright(h, 16))

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import mixed32, unpacked, with_row_id, written
+from gristmill.functions.hashing import mix32
+from gristmill.llm.common import unpacked, with_row_id, written
 from gristmill.llm.tokens import PATH, token_count
 
 SEED = 20
@@ -31,8 +32,8 @@ BINS = 65536
 def _uniform(rid: Column, seed: int) -> Column:
     """53 bits of hash in (0, 1)."""
     m = F.lit(1 << 31)
-    h1 = mixed32(F.pmod(rid + F.lit(seed), m))
-    h2 = mixed32(F.shiftright(h1, 1).bitwiseXOR(F.pmod(F.shiftright(rid, 31), m)))
+    h1 = mix32(F.pmod(rid + F.lit(seed), m))
+    h2 = mix32(F.shiftright(h1, 1).bitwiseXOR(F.pmod(F.shiftright(rid, 31), m)))
     return ((h1 * F.lit(1 << 20)).cast("double") + F.shiftright(h2, 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
