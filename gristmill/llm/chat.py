@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import small_batches
 from gristmill.llm.tokens import PATH, encoder
 from gristmill.llm.worker import tidied_stream
 
@@ -100,6 +101,7 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
         if rows:
             yield table()
 
+    small_batches(turns.sparkSession)
     slim = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text").filter("conv_id IS NOT NULL")
     ordered = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(tidied_stream(run), SCHEMA)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from gristmill.plans.chunked import shared_folder
 
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: 64-bit words of the bitmap that sieves rows before a join: a fixed size, whatever the input.
 SIEVE_WORDS = 1 << 19
 
@@ -37,6 +40,13 @@ class Scratch:
             remove(self.spark, self.paths.pop())
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let at most BATCH_BYTES go to Python at once, where the session has Spark's default: two tasks' batches of 64 MB, each of which grows by
+    doubling and is held on both sides, are a good part of a small executor. Rows and results don't depend on it."""
+    if spark.conf.get(_BATCH) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if Scratch._open:

@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import drop_rows, join_rows, unpacked, with_row_id, written
+from gristmill.llm.common import drop_rows, join_rows, small_batches, unpacked, with_row_id, written
 from gristmill.llm.grams import U, chunks, mix, ngrams, planes, unplanes, words
 from gristmill.llm.worker import tidied, tidied_stream
 
@@ -569,6 +569,7 @@ def _sizes(slim: DataFrame, threshold: float) -> tuple[dict[int, int], int, int]
 def _twins_and_near(keyed: DataFrame, n: int, threshold: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Over the rids of ``keyed`` (row, rid): (a, b) of each set's least document and each further one, and (a, b, millionths)
     of the least documents of distinct sets, a < b; the similarity in millionths, rounded down."""
+    small_batches(keyed.sparkSession)
     slim = keyed.select("rid", F.col("row").getField("text").alias("text"))
     mass, size, rows = _sizes(slim, threshold)
     frequent, cold = _frequent(slim, n, rows, seed)

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gristmill.llm.common import small_batches
 from gristmill.llm.license_rules import rules, spelled
 
 SCHEMA = "doc_id bigint, license string, rule string, priority int, start int, stop int, matched string"
@@ -112,4 +113,5 @@ def detect(docs: DataFrame) -> DataFrame:
             c = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import mix32
-from gristmill.llm.common import unpacked, with_row_id, written
+from gristmill.llm.common import small_batches, unpacked, with_row_id, written
 from gristmill.llm.tokens import PATH, token_count
 
 SEED = 20
@@ -58,6 +58,7 @@ def _tokens(text: Column, unit: str) -> Column:
 
 def _plan(keyed: DataFrame, unit: str, weights: dict[str, int] | None, total_percent: int) -> tuple[DataFrame, DataFrame]:
     """((rid, doc_id, src, tokens, key), (psrc, epochs, last key and id selected beyond them) for each source)."""
+    small_batches(keyed.sparkSession)
     row = F.col("row")
     slim = keyed.select("rid", row.getField("doc_id").cast("bigint").alias("doc_id"), "src", _tokens(row.getField("text"), unit).alias("tokens"), "key")
     slim = written(slim, "mix-keys").filter("tokens > 0")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import with_row_id, written
+from gristmill.llm.common import small_batches, with_row_id, written
 from gristmill.llm.tokens import PATH, token_count
 from gristmill.llm.worker import tidied
 
@@ -56,6 +56,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, linear: int = LINEAR, shard_
 
     doc_start is the piece's first token in its document, start its first in the sequence; (shard, sequence) names a sequence.
     """
+    small_batches(docs.sparkSession)
     keyed, _ = with_row_id(docs.select("doc_id", F.col(f"`{tokens}`" if tokens else "text").alias("text")))
     text = F.col("row").getField("text")
     # tokens are counted once: the sizes are written, and no filter on them reaches the pass over the ids

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import likely_rows, packed, unpacked, written
+from gristmill.llm.common import likely_rows, packed, small_batches, unpacked, written
 from gristmill.llm.grams import _bytes, chunks, words
 from gristmill.llm.worker import tidied
 
@@ -149,6 +149,7 @@ def cutoffs(good: dict, bad: dict, alpha: float, delta: float, grid: int = CUTOF
 
 def calibrate(docs: DataFrame, labels: DataFrame, alpha: float, delta: float):
     """(model, {stratum: cutoff}), or (None, {}) where the labels have not both kinds."""
+    small_batches(docs.sparkSession)
     y = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").alias("q")).filter("doc_id IS NOT NULL AND q IS NOT NULL")
     y = written(y.groupBy("doc_id").agg(F.min("q").alias("y")), "quality-labels")
     # features of the labelled documents alone, in their own task: only ids and features are exchanged

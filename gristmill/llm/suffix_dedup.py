@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import text_bytes, with_row_id
+from gristmill.llm.common import small_batches, text_bytes, with_row_id
 from gristmill.llm.grams import U, chunks, mix, planes, unplanes, words
 from gristmill.llm.worker import tidied, tidied_stream
 
@@ -164,6 +164,7 @@ def _spans(threshold: int):
 
 def repeated_passages(docs: DataFrame, threshold: int = THRESHOLD, doublings: int = DOUBLINGS) -> DataFrame:
     """(doc_id, start_word, end_word): the maximal spans, end exclusive, that passages of ``threshold`` words found at least twice cover."""
+    small_batches(docs.sparkSession)
     keyed, kind = with_row_id(docs)
     slim = keyed.select("rid", F.col("row").getField("text").alias("text"))
     size, _ = text_bytes(slim)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.llm.common import small_batches
 from gristmill.llm.tokens import PATH, encoder
 from gristmill.llm.worker import tidied_stream
 
@@ -32,6 +33,7 @@ META = ("doc_id", "source", "lang")
 
 def tokenized(docs: DataFrame, meta: Sequence[str] = META, tokenizer: str = PATH) -> DataFrame:
     """(meta columns, n_tokens, token_ids) of every document."""
+    small_batches(docs.sparkSession)
     meta = [m for m in meta if m in docs.columns and m not in ("n_tokens", "token_ids")]
     schema = T.StructType([docs.schema[m] for m in meta]).add("n_tokens", T.IntegerType()).add("token_ids", T.ArrayType(T.IntegerType()))
 

@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import scratch_path, written
+from gristmill.llm.common import scratch_path, small_batches, written
 
 PIECE = 1 << 20
 #: The longest header of a record.
@@ -69,6 +69,7 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n], "raw_bytes": [raw]})
 
+    small_batches(pages.sparkSession)
     slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     return written(slim.mapInArrow(run, FILES), "warc-files")
 
