@@ -357,14 +357,14 @@ OGL-Canada-2.0|open government licence\W{1,5}canada
 OGL-UK-3.0|contains public sector information licensed under the open government licence v3\.0
 OpenRAIL|use-based restrictions (?:as referenced )?in paragraph 5
 Llama-2|llama 2 community licen[sc]e agreement
-Llama-3|llama 3(?:\.\d)? community licen[sc]e agreement
+Llama-3|llama 3(?:\.[0-9])? community licen[sc]e agreement
 Gemma|gemma terms of use
 LPPL-1.3c|this work may be distributed and/or modified under the conditions of the latex project public licen[sc]e
 FTL|portions of this software are copyright .{1,40}? the freetype project
 ICU|icu licen[sc]e\W{1,5}icu 1\.8\.1 and later
 Unicode-DFS-2016|unicode,? inc\.? licen[sc]e agreement\W{1,5}data files and software
 Unicode-TOU|unicode terms of use
-curl|permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, .{0,80}?\bcurl\b
+curl|permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, .{0,80}?curl\b
 Sleepycat|redistributions in any form must be accompanied by information on how to obtain complete source code for the db software
 Vim|there are no restrictions on distributing unmodified copies of vim
 TCL|the authors hereby grant permission to use, copy, modify, distribute, and licen[sc]e this software and its documentation for any purpose
