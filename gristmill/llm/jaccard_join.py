@@ -638,16 +638,18 @@ def components(edges: DataFrame) -> DataFrame:
     steps grows with the logarithm of the component, not with the data.
     """
     e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = _state(e)
     while True:
-        before = _state(e)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = written(small.filter("u <> v").distinct(), "edges")
-        if _state(e) == before:
+        now = _state(e)
+        if now == before:
             return e.select(F.col("u").alias("rid"), F.col("v").alias("root"))
+        before = now
 
 
 def _state(e: DataFrame) -> tuple:
