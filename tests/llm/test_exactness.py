@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from gristmill.llm import chat, common, exact_dedup, jaccard_join, licenses, quality, suffix_dedup, tokens, warc
+from gristmill.llm import chat, common, exact_dedup, jaccard_join, licenses, quality, suffix_dedup, token_output, tokens, warc
 from test_operators import SCHEMA, awkward, brute_mix, brute_pairs, letters, prose, rows_of, words
 
 
@@ -366,3 +366,19 @@ def test_pipeline_on_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# -- 1
+
+
+def test_row_groups_stay_near_their_bound(spark, tmp_path):
+    """The writer looks at the size every hundred rows at least: groups end within half of the bound beyond it."""
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bound = 128 << 10
+    token_output.write_tokens(token_output.tokenized(docs).coalesce(1), str(tmp_path / "t"), row_group=bound, page=8 << 10, page_rows=50)
+    (file,) = (tmp_path / "t").glob("*.parquet")
+    m = pq.ParquetFile(file).metadata
+    sizes = [sum(m.row_group(g).column(c).total_compressed_size for c in range(m.num_columns)) for g in range(m.num_row_groups)]
+    assert len(sizes) > 5 and max(sizes) <= bound * 1.5 and sum(m.row_group(g).num_rows for g in range(m.num_row_groups)) == docs.count()
