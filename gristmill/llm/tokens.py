@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gristmill.llm.grams import _bytes, chunks
-from gristmill.llm.worker import tidied
+from gristmill.llm.worker import tidy
 
 PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,9 +35,10 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.n_vocab = max(ranks.values()) + 1
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Drop the units: a worker that waits for its next task holds the vocabulary alone."""
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 16, np.int64)
@@ -94,7 +96,7 @@ class Encoder:
         units = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         distinct = units.dictionary.to_pylist()
         if len(self.known) + len(distinct) > UNITS:
-            self._reset()
+            self.forget()
         self._learn([u for u in distinct if u not in self.known])
         unit = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[units.indices.to_numpy()]
         return start, off, unit
@@ -123,7 +125,13 @@ def token_count(text: Column, path: str = PATH) -> Column:
     """The number of the tokenizer's ids of a text; 0 for a NULL or empty one."""
 
     @F.arrow_udf("bigint")
-    def run(t: pa.Array) -> pa.Array:
-        return tidied(lambda x: pa.array(encoder(path).counts(x), pa.int64()))(t)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoder(path)
+        try:
+            for t in texts:
+                yield pa.array(enc.counts(t), pa.int64())
+        finally:
+            enc.forget()
+            tidy()
 
     return run(text)
