@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import mix32
 from gristmill.llm.common import small_batches, unpacked, with_row_id, written
-from gristmill.llm.tokens import PATH, token_count
+from gristmill.llm.tokens import PATH, counted
 
 SEED = 20
 BINS = 65536
@@ -52,15 +52,16 @@ def _keyed(docs: DataFrame, seed: int, quality: str | None) -> DataFrame:
     return d.withColumn("key", -F.ln(_uniform(F.col("rid"), seed)) / w)
 
 
-def _tokens(text: Column, unit: str) -> Column:
-    return F.regexp_count(text, F.lit("[^\\x00-\\x20]+")).cast("bigint") if unit == "words" else token_count(text, unit)
+def _words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[^\\x00-\\x20]+")).cast("bigint")
 
 
 def _plan(keyed: DataFrame, unit: str, weights: dict[str, int] | None, total_percent: int) -> tuple[DataFrame, DataFrame]:
     """((rid, doc_id, src, tokens, key), (psrc, epochs, last key and id selected beyond them) for each source)."""
     small_batches(keyed.sparkSession)
     row = F.col("row")
-    slim = keyed.select("rid", row.getField("doc_id").cast("bigint").alias("doc_id"), "src", _tokens(row.getField("text"), unit).alias("tokens"), "key")
+    slim = keyed.select("rid", row.getField("doc_id").cast("bigint").alias("doc_id"), "src", row.getField("text").alias("text"), "key")
+    slim = slim.withColumn("tokens", _words(F.col("text"))).drop("text") if unit == "words" else counted(slim, "text", "tokens", unit)
     slim = written(slim, "mix-keys").filter("tokens > 0")
     slim = slim.withColumn("bin", F.floor(F.lit(BINS) * (F.lit(1.0) - F.exp(-F.col("key")))).cast("int"))
     hist = written(slim.groupBy("src", "bin").agg(F.sum("tokens").alias("t")), "mix-bins")
@@ -108,6 +109,6 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, total_percent: i
     keyed = _keyed(docs, seed, quality)
     _, plan = _plan(keyed, unit, weights, total_percent)
     if unit == "words":
-        keyed = keyed.filter(_tokens(F.col("row").getField("text"), unit) > 0)
+        keyed = keyed.filter(_words(F.col("row").getField("text")) > 0)
     out = _copies(keyed, plan).select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     return unpacked(out, docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import small_batches, with_row_id, written
-from gristmill.llm.tokens import PATH, token_count
+from gristmill.llm.tokens import PATH, counted
 from gristmill.llm.worker import tidied
 
 CAPACITY = 4096
@@ -58,9 +58,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, linear: int = LINEAR, shard_
     """
     small_batches(docs.sparkSession)
     keyed, _ = with_row_id(docs.select("doc_id", F.col(f"`{tokens}`" if tokens else "text").alias("text")))
-    text = F.col("row").getField("text")
+    slim = keyed.select("rid", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"))
+    slim = slim.select("rid", "doc_id", F.col("text").cast("bigint").alias("n")) if tokens else counted(slim, "text", "n", tokenizer)
     # tokens are counted once: the sizes are written, and no filter on them reaches the pass over the ids
-    sizes = written(keyed.select("rid", F.col("row.doc_id").cast("bigint").alias("doc_id"), (text.cast("bigint") if tokens else token_count(text, tokenizer)).alias("n")), "pack-sizes").filter("n > 0")
+    sizes = written(slim, "pack-sizes").filter("n > 0")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")).first()[0]
     shards = max(1, math.ceil(total / shard_tokens))
     pieces = sizes.select(

@@ -20,16 +20,17 @@ word-less texts.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.llm.common import likely_rows, packed, small_batches, unpacked, written
 from gristmill.llm.grams import _bytes, chunks, words
-from gristmill.llm.worker import tidied
+from gristmill.llm.worker import tidied_stream
 
 ALPHA = 0.05
 DELTA = 0.05
@@ -75,13 +76,27 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _feature_column(text: str) -> Column:
-    @F.arrow_udf("array<double>")
-    def run(t: pa.Array) -> pa.Array:
-        f = tidied(features)(t)
-        return pa.ListArray.from_arrays(np.arange(len(f) + 1, dtype=np.int32) * len(FEATURES), pa.array(f.ravel()))
+def featured(df: DataFrame, name: str, keep_text: bool) -> DataFrame:
+    """``df`` with the features of its column text as the array ``name``, behind its other columns."""
+    rest = [c for c in df.columns if keep_text or c != "text"]
+    schema = T.StructType([df.schema[c] for c in rest]).add(name, T.ArrayType(T.DoubleType()))
 
-    return run(F.col(text))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = features(b.column("text"))
+            lists = pa.ListArray.from_arrays(np.arange(len(f) + 1, dtype=np.int32) * len(FEATURES), pa.array(f.ravel()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], lists], [*rest, name])
+
+    return df.mapInArrow(tidied_stream(run), schema)
+
+
+def _score(f: Column, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Column:
+    """``score`` as an expression over the array of features."""
+    mean, scale, w = model
+    z = F.lit(float(w[0]))
+    for i in range(len(FEATURES)):
+        z = z + (f.getItem(i) - F.lit(float(mean[i]))) / F.lit(float(scale[i])) * F.lit(float(w[i + 1]))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +169,7 @@ def calibrate(docs: DataFrame, labels: DataFrame, alpha: float, delta: float):
     y = written(y.groupBy("doc_id").agg(F.min("q").alias("y")), "quality-labels")
     # features of the labelled documents alone, in their own task: only ids and features are exchanged
     slim = likely_rows(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("s"), "text"), y, "doc_id")
-    f = slim.select("doc_id", "s", _feature_column("text").alias("f")).join(y, "doc_id").filter("f[0] > 0")
+    f = featured(slim, "f", False).join(y, "doc_id").filter("f[0] > 0")
     f = written(f.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))), "quality-features")
     sample = f.filter("half = 0").orderBy(F.xxhash64("doc_id", F.lit(7)), "f").limit(FIT_ROWS).select("f", "y").toArrow()
     target = sample["y"].to_numpy().astype(float)
@@ -162,13 +177,9 @@ def calibrate(docs: DataFrame, labels: DataFrame, alpha: float, delta: float):
         return None, {}
     model = fit(np.array(sample["f"].combine_chunks().values).reshape(-1, len(FEATURES)), target)
 
-    @F.arrow_udf("int")
-    def bins(x: pa.Array) -> pa.Array:
-        v = np.array(x.flatten()).reshape(-1, len(FEATURES))
-        return pa.array(np.minimum((score(v, model) * CUTOFFS).astype(np.int32), CUTOFFS - 1))
-
+    bin_ = F.least(F.floor(_score(F.col("f"), model) * CUTOFFS), F.lit(CUTOFFS - 1)).cast("int")
     # strata x bins x 2 rows, however many documents there are
-    counted = f.filter("half = 1").groupBy("s", bins(F.col("f")).alias("b"), "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = f.filter("half = 1").groupBy("s", bin_.alias("b"), "y").agg(F.count(F.lit(1)).alias("n")).collect()
     good: dict = {}
     bad: dict = {}
     for r in counted:
@@ -177,25 +188,23 @@ def calibrate(docs: DataFrame, labels: DataFrame, alpha: float, delta: float):
     return model, cutoffs(good, bad, alpha, delta)
 
 
-def _scored(docs: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """The kept rows as (row, score, cutoff)."""
+def _scored(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, keep_text: bool = True) -> DataFrame:
+    """The kept rows (without their text, if it isn't needed) as (row, score, cutoff)."""
     model, limits = calibrate(docs, labels, alpha, delta)
-
-    @F.arrow_udf("double")
-    def run(t: pa.Array) -> pa.Array:
-        f = tidied(features)(t)
-        s = score(f, model) if model is not None else np.ones(len(f))
-        return pa.array(np.where(f[:, 0] > 0, s, -1.0))
-
+    name = "_features"
+    while name in docs.columns:
+        name += "_"
+    f = F.col(name)
+    judged = F.when(f.getItem(0) > 0, _score(f, model) if model is not None else F.lit(1.0)).otherwise(F.lit(-1.0))
     # a row a stratum that has labels
     cut = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in limits.items()], "stratum string, cut double")
-    d = packed(docs, score=run(F.col("text")), lang=F.col("lang").cast("string")).join(cut, F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    d = packed(featured(docs, name, keep_text), score=judged, lang=F.col("lang").cast("string")).join(cut, F.col("lang").eqNullSafe(F.col("stratum")), "left")
     return d.select("row", "score", F.coalesce("cut", F.lit(0.0)).alias("cutoff")).filter("score >= cutoff")
 
 
 def passing(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(doc_id, lang, score, cutoff) of the documents that the rules keep."""
-    return _scored(docs, labels, alpha, delta).select(F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang"), "score", "cutoff")
+    return _scored(docs.select("doc_id", "lang", "text"), labels, alpha, delta, keep_text=False).select(F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang"), "score", "cutoff")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

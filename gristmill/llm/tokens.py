@@ -15,8 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from gristmill.llm.grams import _bytes, chunks
 from gristmill.llm.worker import tidy
@@ -121,17 +121,18 @@ def encoder(path: str) -> Encoder:
     return held[path]
 
 
-def token_count(text: Column, path: str = PATH) -> Column:
-    """The number of the tokenizer's ids of a text; 0 for a NULL or empty one."""
+def counted(df: DataFrame, text: str, name: str, path: str = PATH) -> DataFrame:
+    """``df`` with the column ``name``, the number of the tokenizer's ids (0 for a NULL or empty text), in place of the column ``text``."""
+    rest = [c for c in df.columns if c != text]
+    schema = T.StructType([df.schema[c] for c in rest]).add(name, T.LongType())
 
-    @F.arrow_udf("bigint")
-    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         try:
-            for t in texts:
-                yield pa.array(enc.counts(t), pa.int64())
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(enc.counts(b.column(text)), pa.int64())], [*rest, name])
         finally:
             enc.forget()
             tidy()
 
-    return run(text)
+    return df.mapInArrow(run, schema)
