@@ -9,13 +9,13 @@ with |r| <= |s| <= |r| / t the symmetric difference is at most H = (1-t)/t * |r|
   signature. With allowance v = 1 a segment is indexed by its subset; with v = 2 also by its one-deletion neighbourhood
   (each subset less one gram), which finds subsets that differ by one gram. If no segment of a pair is found, its
   difference is at least the sum of allowances; so allowances of H + 1 in all find every pair.
-* Frequent grams: a gram that more than ``FREQUENT`` of the documents hold (counted over all of them) takes no part in the segments,
-  else documents would meet by the thousand for a common phrase. Leaving the same grams out of both sets only lowers their
-  difference, so H still bounds it and no pair is lost; what a set then lacks counts as its loss.
+* Frequent grams: a gram of more than ``LEAST_FREQUENT`` documents (as a sample of the documents has it) takes no part in the segments,
+  else documents would meet for a common phrase, the more of them the larger the input. Leaving the same grams out of both sets
+  only lowers their difference, so H still bounds it and no pair is lost whichever grams are left out; what a set then lacks counts as its loss.
 * Subsets of at most q grams (empty ones above all) would match everywhere: they get allowance 0. What a set loses
   so (v for each segment it skips, 1 for each subset of q + 1 grams where v = 2) must be covered by slack in the number
   of segments. A set that loses more than the slack repeats its band with another partition, and after ``ROUNDS``
-  partitions (at once where no allocation covers a band's sets) it indexes the single grams of its prefix (|x| - ceil(t|x|) + 1 of them, frequent ones last). A pair is found in the first round in
+  partitions (at once where no allocation covers a band's sets) it indexes the single grams of its prefix (|x| - ceil(t|x|) + 1 of them, frequent ones last, by their number). A pair is found in the first round in
   which either of its sets is covered, or by a prefix gram: nothing is missed.
 * Cost-based allocation: for each band v, q and m are chosen by an estimate of signatures written plus candidates
   checked.
@@ -23,10 +23,13 @@ with |r| <= |s| <= |r| / t the symmetric difference is at most H = (1-t)/t * |r|
 Signatures travel as packed blocks (task and partition wise), not as rows. A band has a range of the partitions in proportion to its
 text, so that a set meets only the partitions of its own two bands; of a key 32 bits travel, those that the partition doesn't
 tell. Sets that are equal in size and a 64-bit sum are candidates by their least document only, so that copies cost one row
-each (``similar_pairs`` returns them so, ``all_similar_pairs`` expands each set to its documents after verification). Every pair,
-those of copies too, is verified on the words themselves, by blocks of about ``VERIFY_BYTES`` of text; should two different sets share
-size and sum, the join is done again with another hash. Candidate keys are hashes: a collision makes a false candidate, which
-verification drops.
+each (``similar_pairs`` returns them so, ``all_similar_pairs`` expands each set to its documents after verification). Candidates
+leave a partition as the components that they make there, not as pairs: a group of near copies is one row a document. In each component of the candidates
+every two sets are compared on the words themselves, by pairs of blocks of about ``VERIFY_BYTES`` of text, as bit sets; copies are compared
+with their least document. Should two different sets share size and sum, the join is done again with another hash. Candidate keys are
+hashes: a collision makes a false candidate, which verification drops.
+
+``linked_documents`` has a row a document with its class and number of links and never writes the pairs.
 
 Defined cases: NULL and empty texts have no grams and join nothing; a text of fewer than n words has one gram; a pair of
 documents of equal sets has similarity 1; rows that share a doc_id are documents of their own, and pairs with
@@ -57,14 +60,16 @@ PARTITION_BYTES = 32 << 20
 #: Bytes of text to a gram, for the share of the partitions that a band gets; nothing else depends on it.
 GRAM_BYTES = 7
 FLUSH = 1 << 19
-#: Share of the documents, and their least number, from which on a gram is frequent. At most (grams of a document) / FREQUENT grams
-#: are, whatever the input.
-FREQUENT = 1 / 1000
-LEAST_FREQUENT = 64
+#: Documents from which on a gram is frequent, whatever the input: what a document meets by one gram doesn't grow with it.
+LEAST_FREQUENT = 128
+#: They are found in a sample of so many documents, or of this share of all if that is more, in which a frequent gram has so many at least.
+SAMPLE, SAMPLE_SHARE, SEEN = 16_384, 1 / 48, 3
+#: Frequent grams at most; where there are more, the most frequent ones.
+MOST_FREQUENT = 1 << 20
 #: Share of a set's other grams that an unrelated set has too, for the costs.
 OVERLAP = 0.0005
-#: Grams that a task counts side by side; only those above the share among them are added up over all tasks.
-COUNTED = 1 << 21
+#: Grams that a sampling task holds, and about those that are counted side by side.
+COUNTED = 1 << 20
 #: What checking a candidate by its parity map costs against writing, moving and sorting a signature.
 CANDIDATE_COST = 0.1
 #: Signatures of a reducer whose partners are looked up side by side.
@@ -161,20 +166,23 @@ def signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan, frequent: np.ndarr
     return _signatures(h, bounds, plan, frequent)[:2]
 
 
-def _is_frequent(h: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
+def _frequency(h: np.ndarray, frequent: np.ndarray | None, often: np.ndarray | None) -> np.ndarray:
+    """0 for a gram that isn't frequent, else its number."""
+    out = np.zeros(len(h), np.int64)
     if frequent is None or not len(frequent):
-        return np.zeros(len(h), bool)
-    likely = np.zeros(1 << 20, bool)
-    likely[frequent & U((1 << 20) - 1)] = True
-    hot = likely[h & U((1 << 20) - 1)]
-    at = np.flatnonzero(hot)
-    hot[at] = frequent[np.minimum(np.searchsorted(frequent, h[at]), len(frequent) - 1)] == h[at]
-    return hot
-
-
-def _signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``signatures`` with the band of each. frequent: sorted grams."""
-    hot = _is_frequent(h, frequent)
+        return out
+    likely = np.zeros(1 << 22, bool)
+    likely[frequent & U((1 << 22) - 1)] = True
+    at = np.flatnonzero(likely[h & U((1 << 22) - 1)])
+    found = np.minimum(np.searchsorted(frequent, h[at]), len(frequent) - 1)
+    out[at] = np.where(frequent[found] == h[at], 1 if often is None else often[found], 0)
+    return out
+
+
+def _signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan, frequent: np.ndarray | None, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``signatures`` with the band of each. frequent: sorted grams; often: the number of each."""
+    number = _frequency(h, frequent, often)
+    hot = number > 0
     rare = h[~hot]
     rare_bounds = np.concatenate([[0], np.cumsum(~hot)])[bounds]
     sizes = np.diff(bounds)
@@ -192,7 +200,7 @@ def _signatures(h: np.ndarray, bounds: np.ndarray, plan: Plan, frequent: np.ndar
                 n = sizes[todo]
                 local = np.repeat(np.arange(len(todo)), n)
                 at = _spans(bounds[todo], n)
-                at = at[np.lexsort((h[at], hot[at], local))]
+                at = at[np.lexsort((h[at], number[at], local))]
                 rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                 use = rank < np.repeat(n - np.ceil(n * plan.t - 1e-9).astype(np.int64) + 1, n)
                 keys.append(mix(h[at[use]] ^ space) | U(1))
@@ -296,49 +304,77 @@ class _Maps:
         return ok
 
 
-def _counted(n: int, share: float, seed: int):
-    """Grams of as many documents as hold COUNTED of them: those above the share with their number of documents, and under -1 the number of all."""
+def _gram_parts(n: int, parts: int, seed: int):
+    """The grams of texts in blocks by parts of the hash space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, grams, docs = [], 0, 0
-
-        def counts() -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= max(2.0, share * docs)
+        held, grams = [], 0
+
+        def flush() -> pa.RecordBatch:
+            h = np.concatenate(held)
+            part = (h % U(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            h = h[order]
+            some = np.flatnonzero(np.diff(cut))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.append(u[keep].astype(np.int64), -1)), pa.array(np.append(c[keep], grams))], ["gram", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([planes(h[cut[p] : cut[p + 1]], 6) for p in some], pa.binary())], ["part", "grams"])
 
         for batch in batches:
             texts = batch.column("text")
             for a, z in chunks(texts):
                 for a2 in range(a, z, 60_000):
-                    part = texts.slice(a2, min(z, a2 + 60_000) - a2)
-                    h, bounds = gram_sets(part, n, seed)
+                    h, _ = gram_sets(texts.slice(a2, min(z, a2 + 60_000) - a2), n, seed)
                     held.append(h)
-                    grams, docs = grams + len(h), docs + len(part)
+                    grams += len(h)
                     if grams >= COUNTED:
-                        yield counts()
-                        grams = docs = 0
-        if held:
-            yield counts()
+                        yield flush()
+                        grams = 0
+        if grams:
+            yield flush()
 
     return run
 
 
-def _frequent(slim: DataFrame, n: int, rows: int, seed: int) -> tuple[np.ndarray, float]:
-    """(sorted frequent grams, share of all grams that the others are)."""
-    c = slim.filter("text IS NOT NULL").select("text").mapInArrow(tidied_stream(_counted(n, FREQUENT, seed)), "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
-    # bounded by (grams of a document) / FREQUENT rows
-    found = c.filter(F.col("c") >= max(LEAST_FREQUENT, FREQUENT * rows)).toArrow()
+def _often(least: float):
+    """A part's grams that so many texts hold, with their number; under -1 the number of all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h = np.concatenate([unplanes(b, 6) for b in table.column("grams").to_pylist()])
+        u, c = np.unique(h, return_counts=True)
+        keep = c >= least
+        return pa.table({"gram": np.append(u[keep].astype(np.int64), -1), "c": np.append(c[keep], len(h))})
+
+    return run
+
+
+def _frequent(slim: DataFrame, n: int, size: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sorted frequent grams, the number of each in the sample, share of all grams that the others are). size: bytes of all documents."""
+    each = max(1, min(rows // SAMPLE, round(1 / SAMPLE_SHARE)))
+    least = max(SEEN, LEAST_FREQUENT / each)
+    parts = max(1, math.ceil(size / each / GRAM_BYTES / COUNTED))
+    texts = slim.filter("text IS NOT NULL").filter(F.expr(f"pmod(xxhash64(rid), {each}) = 0")).select("text")
+    c = texts.mapInArrow(tidied_stream(_gram_parts(n, parts, seed)), "part int, grams binary").groupBy("part").applyInArrow(tidied(_often(least)), "gram bigint, c bigint")
+    c = written(c, "frequent")
+    most = 1 << 12
+    by_number = {r.c: r.n for r in c.filter("gram >= 0").groupBy(F.least("c", F.lit(most)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken = 0
+    for number in sorted(by_number, reverse=True):
+        taken += by_number[number]
+        if taken > MOST_FREQUENT:
+            least = number + 1
+            break
+    found = c.filter((F.col("gram") < 0) | (F.col("c") >= least)).toArrow()
     gram, count = found["gram"].to_numpy(), found["c"].to_numpy()
     total = int(count[gram < 0].sum())
-    return np.sort(gram[gram >= 0]).astype(U), 1 - int(count[gram >= 0].sum()) / max(total, 1)
+    order = np.argsort(gram)[int((gram < 0).sum()) :]
+    return gram[order].astype(U), count[order], 1 - int(count[order].sum()) / max(total, 1)
 
 
 BLOCK = "part int, keys binary, counts binary, rids binary, sizes binary, prints binary, maps binary"
 
 
-def _blocks(n: int, plan: Plan, spread: Spread, frequent: np.ndarray, seed: int):
+def _blocks(n: int, plan: Plan, spread: Spread, frequent: np.ndarray, often: np.ndarray, seed: int):
     """Map side: (rid, text) batches to packed blocks of signatures for each partition."""
 
     def flush(held: list, arrays: dict) -> pa.RecordBatch:
@@ -378,7 +414,7 @@ def _blocks(n: int, plan: Plan, spread: Spread, frequent: np.ndarray, seed: int)
                     mark = np.zeros(z2 - a2, U)
                     if len(some):
                         mark[some] = np.add.reduceat(mix(h), bounds[:-1][some])
-                    key, doc, band = _signatures(h, bounds, plan, frequent)
+                    key, doc, band = _signatures(h, bounds, plan, frequent, often)
                     held.append((key, (doc + docs).astype(np.int32), spread.part(key, band).astype(np.int32)))
                     arrays["rid"].append(rids[a2:z2].astype(np.int64))
                     arrays["size"].append(size)
@@ -395,8 +431,30 @@ def _blocks(n: int, plan: Plan, spread: Spread, frequent: np.ndarray, seed: int)
     return run
 
 
+def _roots(label: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The root of each of ``x`` in the forest ``label``, where a root is its own; paths are shortened."""
+    r = label[x]
+    while True:
+        up = label[r]
+        if np.array_equal(up, r):
+            break
+        r = up
+    label[x] = r
+    return r
+
+
+def _unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Connect each of ``x`` with that of ``y``; the lesser root stays one."""
+    while len(x):
+        a, b = _roots(label, x), _roots(label, y)
+        apart = np.flatnonzero(a != b)
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+
+
 def _candidates(t: float):
-    """Reduce side: the blocks of one partition to candidate pairs of documents, each once."""
+    """Reduce side: the blocks of one partition to the components that its candidate pairs make, each document with one other; and
+    copies (same) with their least document. A pair that others connect already is not looked at."""
 
     def run(table: pa.Table) -> pa.Table:
         def joined(name: str, kind) -> np.ndarray:
@@ -438,8 +496,8 @@ def _candidates(t: float):
         key, doc = (both >> U(33)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int32)
         kind = (both & U(1 << 32)).astype(bool)
         del both, shared, same_run
-        found, held = [], 0
         maps = _Maps(joined("maps", np.uint8), size, t)
+        label = np.arange(len(rid))
         for at in range(0, len(key), PAIR_STEP):
             here, step = np.arange(at, min(at + PAIR_STEP, len(key))), 1
             while len(here):
@@ -449,24 +507,32 @@ def _candidates(t: float):
                 small, big = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
                 ok = (kind[here] | kind[here + step]) & (x != y) & (small >= np.ceil(big * t - 1e-9))
                 x, y = x[ok], y[ok]
-                ok = maps.may_join(x, y)
+                ok = _roots(label, x) != _roots(label, y)
                 x, y = x[ok], y[ok]
-                pair = (np.minimum(x, y).astype(U) << U(32)) | np.maximum(x, y).astype(U)
-                found.append(pair)
-                held += len(pair)
-                if held > 1 << 20:
-                    found, held = [np.unique(np.concatenate(found))], 0
+                ok = maps.may_join(x, y)
+                _unite(label, x[ok], y[ok])
+                if step >= 8 and not step & (step - 1) and len(here):
+                    here = here[~_one(label, key, doc, here)]
                 step += 1
-        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, U)
-        x, y = rid[(pair >> U(32)).astype(np.int64)], rid[(pair & U(0xFFFFFFFF)).astype(np.int64)]
-        a_out.append(np.minimum(x, y))
-        b_out.append(np.maximum(x, y))
+        root = _roots(label, np.arange(len(rid)))
+        x = np.flatnonzero(root != np.arange(len(rid)))
+        a_out.append(np.minimum(rid[x], rid[root[x]]))
+        b_out.append(np.maximum(rid[x], rid[root[x]]))
         same.append(np.zeros(len(x), bool))
         return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out), "same": np.concatenate(same)})
 
     return run
 
 
+def _one(label: np.ndarray, key: np.ndarray, doc: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Whether all documents that have the key at a place are connected. key: sorted."""
+    k, back = np.unique(key[here], return_inverse=True)
+    first, last = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
+    r = _roots(label, doc[_spans(first, last - first)])
+    start = np.cumsum(last - first) - (last - first)
+    return (np.minimum.reduceat(r, start) == np.maximum.reduceat(r, start))[back]
+
+
 class _ExactSets:
     """Gram sets as sorted arrays of numbers, given to words and grams one after the other: equal if and only if the words are."""
 
@@ -539,13 +605,133 @@ def _verify(n: int, t: float):
     return run
 
 
-def _verified(found: DataFrame, slim: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, same, overlap, total) of the candidates that reach the threshold or are called the same."""
-    tree = components(found.select("a", "b"))
+def _least_overlaps(most: int, t: float) -> np.ndarray:
+    """By the sum of two sizes, up to ``most``: the least overlap that reaches the threshold."""
+    s = np.arange(most + 1)
+    o = np.maximum(np.floor(t * s / (1 + t)).astype(np.int64) - 1, 0)
+    for _ in range(3):
+        o += ~(o >= t * (s - o) - 1e-9)
+    return o
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, t: float, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, overlap) of every two sets that reach the threshold, j counted on behind ``left``; without ``right`` i < j of one list.
+    The overlap is a lower bound unless ``exact``.
+
+    Grams that many of the sets hold are compared as bits; what the others can add bounds the overlap from above, and where that
+    leaves it open they are looked up.
+    """
+    sets = left + (right or [])
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, gram, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = held >= max(2, len(sets) / 8)
+    at = np.flatnonzero(common[gram])
+    width = -(-int(common.sum()) // 64) or 1
+    flags = np.zeros((len(sets), width * 64), bool)
+    flags[owner[at], (np.cumsum(common) - 1)[gram[at]]] = True
+    bits = np.packbits(flags, axis=1).view(U)
+    del flags
+    # the rarer grams that two hold, in the order of (set, gram)
+    at = np.flatnonzero(((held > 1) & ~common)[gram])
+    rare, key = gram[at], owner[at] * len(held) + gram[at]
+    rares = np.bincount(owner[at], minlength=len(sets))
+    first = np.cumsum(rares) - rares
+    need = _least_overlaps(int(2 * size.max()), t)
+
+    def both_hold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = np.where(rares[x] <= rares[y], x, y), np.where(rares[x] <= rares[y], y, x)
+        out = np.zeros(len(x), np.int64)
+        step = max(1, (1 << 19) // max(1, int(rares.max())))
+        for i in range(0, len(x), step):
+            n = rares[x[i : i + step]]
+            want = rare[_spans(first[x[i : i + step]], n)] + np.repeat(y[i : i + step], n) * len(held)
+            hit = key[np.minimum(np.searchsorted(key, want), len(key) - 1)] == want if len(key) else np.zeros(0, bool)
+            out[i : i + step] = np.bincount(np.repeat(np.arange(len(n)), n)[hit], minlength=len(n))
+        return out
+
+    i = 0
+    while i < len(left):
+        j = i + 1 if right is None else len(left)
+        if j >= len(sets):
+            break
+        to = min(len(left), i + max(1, (1 << 19) // ((len(sets) - j) * width)))
+        both = np.bitwise_count(bits[i:to, None] & bits[None, j:]).sum(axis=2, dtype=np.int32)
+        wanted = need[size[i:to, None] + size[None, j:]]
+        x, y = np.nonzero(both + np.minimum(rares[i:to, None], rares[None, j:]) >= wanted)
+        if right is None:
+            x, y = x[y + j > x + i], y[y + j > x + i]
+        both, wanted, x, y = both[x, y].astype(np.int64), wanted[x, y], x + i, y + j
+        todo = np.flatnonzero((np.minimum(rares[x], rares[y]) > 0) & (exact | (both < wanted)))
+        both[todo] += both_hold(x[todo], y[todo])
+        ok = both >= wanted
+        yield x[ok], y[ok], both[ok]
+        i = to
+
+
+_PAIRS = "a bigint, b bigint, overlap bigint, total bigint"
+_LINKS = "a bigint, b bigint, sets bigint, docs bigint"
+
+
+def _compare(n: int, t: float, counted: bool):
+    """Rows by task: the documents of its one or two blocks, in order. All pairs that reach t, with overlap and size of the union; or, counted,
+    for each document the number of its links, in sets and in documents of this many copies (b is NULL), and pairs that connect what links connect."""
+    names = [c.split()[0] for c in (_LINKS if counted else _PAIRS).split(", ")]
+
+    def rows(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in columns], names)
+
+    def task(found: _ExactSets, rids: list[int], blocks: list[int], copies: list[int]) -> Iterator[pa.RecordBatch]:
+        rid, sets, cut = np.array(rids), [found.sets[r] for r in rids], blocks.count(blocks[0])
+        left, right = sets[:cut], sets[cut:] or None
+        if not counted:
+            for i, j, both in linked(left, right, t, True):
+                size = np.array([len(x) for x in sets])
+                yield rows(rid[i], rid[j], both, size[i] + size[j] - both)
+            return
+        number, each, label = np.zeros((2, len(rid))), np.array(copies, float), np.arange(len(rid))
+        for i, j, _ in linked(left, right, t, False):
+            for x, y in ((i, j), (j, i)):
+                number[0] += np.bincount(x, minlength=len(rid))
+                number[1] += np.bincount(x, each[y], len(rid))
+            _unite(label, i, j)
+        some = np.flatnonzero(number[0])
+        yield rows(rid[some], None, number[0, some].astype(np.int64), number[1, some].astype(np.int64))
+        root = _roots(label, np.arange(len(rid)))
+        some = np.flatnonzero(root != np.arange(len(rid)))
+        yield rows(rid[root[some]], rid[some], None, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found, rids, blocks, copies = None, None, [], [], []
+        for batch in batches:
+            keys = zip(*[batch.column(c).to_pylist() for c in ("root", "ca", "cb", "c", "rid", "copies")])
+            text = pc.utf8_lower(batch.column("text"))
+            for i, (root, ca, cb, c, rid, k) in enumerate(keys):
+                if now != (root, ca, cb):
+                    if rids:
+                        yield from task(found, rids, blocks, copies)
+                    now, found, rids, blocks, copies = (root, ca, cb), _ExactSets(n), [], [], []
+                found.add(rid, text[i].as_py())
+                rids.append(rid)
+                blocks.append(c)
+                copies.append(k)
+        if rids:
+            yield from task(found, rids, blocks, copies)
+
+    return run
+
+
+def _in_blocks(tree: DataFrame, slim: DataFrame) -> DataFrame:
+    """(rid, root, c) of all vertices of ``tree`` (rid, root), roots too: c numbers the blocks of about VERIFY_BYTES of text of a root."""
     member = tree.unionByName(tree.select(F.col("root").alias("rid"), "root").distinct())
     member = join_rows(slim.select("rid", F.octet_length("text").cast("bigint").alias("bytes")), member, "rid")
     upto = F.sum("bytes").over(Window.partitionBy("root").orderBy("rid").rowsBetween(Window.unboundedPreceding, -1))
-    member = written(member.withColumn("c", F.floor(F.coalesce(upto, F.lit(0)) / VERIFY_BYTES).cast("int")).drop("bytes"), "pair-blocks")
+    return member.withColumn("c", F.floor(F.coalesce(upto, F.lit(0)) / VERIFY_BYTES).cast("int")).drop("bytes")
+
+
+def _verified(found: DataFrame, slim: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, same, overlap, total) of copies ``found``, each b with its least document a."""
+    member = written(_in_blocks(found.select(F.col("b").alias("rid"), F.col("a").alias("root")), slim), "pair-blocks")
     left = member.select(F.col("rid").alias("a"), "root", F.col("c").alias("ca"))
     right = member.select(F.col("rid").alias("b"), F.col("c").alias("cb"))
     pairs = written(found.join(left, "a").join(right, "b").select("root", "ca", "cb", "a", "b", "same"), "pair-tasks")
@@ -557,6 +743,20 @@ def _verified(found: DataFrame, slim: DataFrame, n: int, threshold: float) -> Da
     return tasks.mapInArrow(tidied_stream(_verify(n, threshold)), "a bigint, b bigint, same boolean, overlap bigint, total bigint")
 
 
+def _compared(edges: DataFrame, twins: DataFrame, slim: DataFrame, n: int, threshold: float, counted: bool) -> DataFrame:
+    """What ``_compare`` finds in each component of ``edges`` (a, b) of least documents; twins: (a, b), each further document with its set's least."""
+    member = _in_blocks(components(edges), slim)
+    copies = twins.groupBy(F.col("a").alias("rid")).agg((F.count(F.lit(1)) + 1).alias("copies"))
+    member = written(member.join(copies, "rid", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint"))), "blocks")
+    last = member.groupBy("root").agg(F.max("c").alias("last"))
+    # a block meets itself and each other block of its component
+    need = member.join(last, "root").withColumn("k", F.explode(F.expr("sequence(0, last)")))
+    need = written(need.select("root", F.least("c", "k").alias("ca"), F.greatest("c", "k").alias("cb"), "c", "rid", "copies"), "block-needs")
+    tasks = join_rows(slim, need, "rid").repartition("root", "ca", "cb").sortWithinPartitions("root", "ca", "cb", "c", "rid")
+    tasks = tasks.select("root", "ca", "cb", "c", "rid", "copies", "text")
+    return tasks.mapInArrow(tidied_stream(_compare(n, threshold, counted)), _LINKS if counted else _PAIRS)
+
+
 def _sizes(slim: DataFrame, threshold: float) -> tuple[dict[int, int], int, int]:
     """({band by bytes: bytes}, bytes, rows) of all documents."""
     n = F.octet_length("text").cast("bigint")
@@ -566,23 +766,38 @@ def _sizes(slim: DataFrame, threshold: float) -> tuple[dict[int, int], int, int]
     return {r.b: int(r.n) for r in found}, sum(int(r.n) for r in found), sum(r.c for r in found)
 
 
-def _twins_and_near(keyed: DataFrame, n: int, threshold: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Over the rids of ``keyed`` (row, rid): (a, b) of each set's least document and each further one, and (a, b, millionths)
-    of the least documents of distinct sets, a < b; the similarity in millionths, rounded down."""
+def _twins_and_compared(keyed: DataFrame, n: int, threshold: float, counted: bool, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Over the rids of ``keyed`` (row, rid): (a, b) of each set's least document and each further one, and what ``_compare`` finds among the
+    least documents of distinct sets."""
     small_batches(keyed.sparkSession)
     slim = keyed.select("rid", F.col("row").getField("text").alias("text"))
     mass, size, rows = _sizes(slim, threshold)
-    frequent, cold = _frequent(slim, n, rows, seed)
+    frequent, often, cold = _frequent(slim, n, size, rows, seed)
     plan = Plan(threshold, rows, cold, OVERLAP)
     spread = Spread(mass, max(1, math.ceil(size / PARTITION_BYTES)))
-    blocks = slim.filter("text IS NOT NULL").mapInArrow(tidied_stream(_blocks(n, plan, spread, frequent, seed)), BLOCK)
+    blocks = slim.filter("text IS NOT NULL").mapInArrow(tidied_stream(_blocks(n, plan, spread, frequent, often, seed)), BLOCK)
     found = blocks.groupBy("part").applyInArrow(tidied(_candidates(threshold)), "a bigint, b bigint, same boolean")
     # copies and pairs are reported by several partitions; a copy's least leader over all of them is its own
     found = written(found.distinct(), "candidates")
-    found = written(_verified(found, slim, n, threshold), "verified")
-    if found.filter("same AND overlap < total").limit(1).count():
-        return _twins_and_near(keyed, n, threshold, seed + 1)
-    return found.filter("same").select("a", "b"), found.filter("NOT same").select("a", "b", F.expr("overlap * 1000000 div total").alias("millionths"))
+    twins = written(_verified(found.filter("same"), slim, n, threshold), "copies")
+    if twins.filter("overlap < total").limit(1).count():
+        return _twins_and_compared(keyed, n, threshold, counted, seed + 1)
+    twins = twins.select("a", "b")
+    return twins, written(_compared(found.filter("NOT same").select("a", "b"), twins, slim, n, threshold, counted), "compared")
+
+
+def _twins_and_near(keyed: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of each set's least document and each further one, and (a, b, millionths) of the least documents of distinct sets, a < b;
+    the similarity in millionths, rounded down."""
+    twins, found = _twins_and_compared(keyed, n, threshold, False)
+    return twins, found.select("a", "b", F.expr("overlap * 1000000 div total").alias("millionths"))
+
+
+def _classes(keyed: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rid, root) of the classes but for the roots, copies (a, b) as above, and (a, sets, docs) of the documents that have links to other sets."""
+    twins, found = _twins_and_compared(keyed, n, threshold, True)
+    tree = components(found.filter("b IS NOT NULL").select("a", "b").union(twins))
+    return tree, twins, found.filter("b IS NULL").groupBy("a").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
 
 
 def _pairs(keyed: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -622,6 +837,28 @@ def all_similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     return _named(_all_pairs(keyed, n, threshold), keyed, kind)
 
 
+def linked_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each of ``docs``: (doc_id, set_id, class_id, set_links, links).
+
+    ``set_id`` is the least document of equal grams, ``class_id`` the least document of those that links connect, ``set_links`` the number of
+    other sets that reach the threshold with the document's, ``links`` the number of other documents that reach it, copies included. A document
+    without words is a set and class of its own. Where ids repeat or are NULL, rows are documents of their own, and set_id and class_id are row
+    numbers in the order of ids instead, since an id would not tell classes apart.
+    """
+    keyed, kind = with_row_id(docs)
+    tree, twins, links = _classes(keyed, n, threshold)
+    tree = tree.unionByName(tree.select(F.col("root").alias("rid"), "root").distinct())
+    tree = tree.join(twins.select(F.col("b").alias("rid"), F.col("a").alias("lead")), "rid", "left").withColumn("lead", F.coalesce("lead", "rid"))
+    copies = twins.groupBy(F.col("a").alias("lead")).agg(F.count(F.lit(1)).alias("copies"))
+    tree = tree.join(copies, "lead", "left").join(links.withColumnRenamed("a", "lead"), "lead", "left")
+    zero = F.lit(0).cast("bigint")
+    tree = tree.select("rid", "lead", "root", F.coalesce("sets", zero).alias("sets"), (F.coalesce("docs", zero) + F.coalesce("copies", zero)).alias("docs"))
+    ids = keyed.select("rid", F.col("rid" if kind == "clean" else "row.doc_id").cast("bigint").alias("doc_id"))
+    return ids.join(tree, "rid", "left").select(
+        "doc_id", F.coalesce("lead", "rid").alias("set_id"), F.coalesce("root", "rid").alias("class_id"), F.coalesce("sets", zero).alias("set_links"), F.coalesce("docs", zero).alias("links")
+    )
+
+
 def _named(pairs: DataFrame, keyed: DataFrame, kind: str) -> DataFrame:
     """``pairs`` of rids with the documents' ids."""
     if kind == "clean":
@@ -659,5 +896,5 @@ def _state(e: DataFrame) -> tuple:
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document, the least by doc_id, of each group that pairs connect, in its own columns."""
     keyed, _ = with_row_id(docs)
-    drop = components(_pairs(keyed, n, threshold).select("a", "b")).select("rid")
+    drop = _classes(keyed, n, threshold)[0].select("rid")
     return unpacked(drop_rows(keyed, drop, "rid"), docs.columns)

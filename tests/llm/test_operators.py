@@ -3,16 +3,18 @@
 import collections
 import itertools
 import math
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, common, exact_dedup, jaccard_join, licenses, mixing, packing, quality, suffix_dedup, token_output, tokens, warc
+from gristmill.llm import chat, common, exact_dedup, jaccard_join, licenses, mixing, packing, quality, queries, suffix_dedup, token_output, tokens, warc
 from gristmill.llm.license_rules import rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, rid long, n int, gid long, copies int, score double"
@@ -141,6 +143,109 @@ def test_jaccard_join_returns_every_pair_of_documents(spark, docs, none, monkeyp
     assert jaccard_join.all_similar_pairs(none, n, t).count() == 0
 
 
+def brute_links(rows, n, t):
+    """{document: (set, class, links in sets, links in documents)}"""
+    pairs = {(a, b) for a, b, _ in brute_document_pairs(rows, n, t)}
+    sets, near, least = {}, collections.defaultdict(set), {i: i for i, _ in rows}
+    for i, text in sorted(rows):
+        w = words((text or "").lower())
+        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else i
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    while any(least[a] != least[b] for a, b in pairs):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return {i: (min(j for j in sets if sets[j] == sets[i]), least[i], len({sets[j] for j in near[i]} - {sets[i]}), len(near[i])) for i in sets}
+
+
+@pytest.mark.parametrize("n,t,block,frequent", [(2, 0.7, 4 << 20, 64), (2, 0.7, 700, 3), (1, 0.8, 300, 5)])
+def test_linked_documents(spark, docs, none, monkeypatch, n, t, block, frequent):
+    """A row a document with its class and number of links, in one block of text and in many."""
+    monkeypatch.setattr(jaccard_join, "VERIFY_BYTES", block)
+    monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", frequent)
+    rng = random.Random(n)
+    texts = [None, "", " "]
+    for k in (1, 3, 20, 60, 60):
+        base = prose(rng, k, 500).split()
+        for _ in range(30):
+            texts += [" ".join(x if rng.random() > 0.04 else f"q{rng.randrange(40)}" for x in base)] * rng.choice([1, 1, 2])
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = jaccard_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, t).collect()
+    assert len(got) == len(rows) and {r[0]: tuple(r[1:]) for r in got} == brute_links(rows, n, t)
+    # rows that share an id or have none are documents of their own, and classes are told apart
+    rows = sorted([r[:2] for r in awkward()], key=lambda r: (r[0] is None, r[0] or 0))
+    got, want = jaccard_join.linked_documents(docs, n, t).collect(), brute_links([(i, r[1]) for i, r in enumerate(rows)], n, t)
+    assert collections.Counter((r.doc_id, r.set_links, r.links) for r in got) == collections.Counter((rows[i][0], *w[2:]) for i, w in want.items())
+    assert len({r.class_id for r in got}) == len({w[1] for w in want.values()}) and len({r.set_id for r in got}) == len({w[0] for w in want.values()})
+    assert jaccard_join.linked_documents(none, n, t).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op5_all_pairs", "op5_ngram_jaccard_join"])
+def test_join_queries_have_a_row_a_document(spark, name):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    df = queries.QUERIES[name](spark, folder)
+    cur = con.execute(queries.ORACLES[name])
+    assert df.columns == [d[0] for d in cur.description]
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(cur.fetchall()) and len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("sets", [2, 9, 90])
+def test_linked_sets(sets):
+    """The comparison of sets as bits, with grams that few of many sets hold, in one block and across two."""
+    rng = np.random.default_rng(sets)
+    base, some = np.arange(60), []
+    for i in range(sets):
+        kept = base[rng.random(60) > rng.choice([0.05, 0.2])]
+        some.append(np.unique(np.concatenate([kept, 100 + rng.integers(0, 3 * sets, rng.integers(0, 25))])))
+    some.append(some[0].copy())
+    for exact in (True, False):
+        for cut in (None, len(some) // 2):
+            want = {}
+            for i, j in itertools.combinations(range(len(some)), 2):
+                both = len(np.intersect1d(some[i], some[j]))
+                if both >= 0.7 * (len(some[i]) + len(some[j]) - both) - 1e-9 and (cut is None or i < cut <= j):
+                    want[i, j] = both
+            found = jaccard_join.linked(some if cut is None else some[:cut], None if cut is None else some[cut:], 0.7, exact)
+            got = {(a, b): o for x in found for a, b, o in zip(*[c.tolist() for c in x])}
+            assert got == want if exact else got.keys() == want.keys() and all(o <= want[p] for p, o in got.items())
+
+
+def test_a_group_of_near_copies_leaves_a_partition_as_one_row_a_document():
+    """Not as its pairs, which grow with the square of the group; and two groups that share a hot gram are not made one."""
+    rng = random.Random(4)
+    texts = []
+    for g in range(2):
+        base = prose(rng, 80, 5000).split()
+        for i in range(200):
+            at = rng.randrange(80)
+            texts.append(" ".join([*base[:at], f"new{i}", *base[at + 1 :], "a common phrase"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], ["rid", "text"])
+    plan, none = jaccard_join.Plan(0.7, 400), np.zeros(0, np.uint64)
+    blocks = list(jaccard_join._blocks(2, plan, jaccard_join.Spread({}, 1), none, none, 0)(iter([batch])))
+    out = jaccard_join._candidates(0.7)(pa.Table.from_batches(blocks)).to_pydict()
+    assert len(out["a"]) == 398 and not any(out["same"])
+    assert all((a < 200) == (b < 200) for a, b in zip(out["a"], out["b"]))
+
+
+def test_frequent_grams_by_number_of_documents(spark, monkeypatch):
+    """A gram of so many documents is frequent whatever their share, so that documents that meet by one gram don't grow with the input."""
+    monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 20)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 6, 100_000) + (" the same phrase" if i < 40 else " a rare one" if i < 55 else "")) for i in range(3000)]
+    slim = spark.createDataFrame(rows, "rid long, text string").repartition(4)
+    gram, number, cold = jaccard_join._frequent(slim, 2, 300_000, len(rows), 0)
+    assert list(number) == [40, 40] and 0.98 < cold < 1
+    monkeypatch.setattr(jaccard_join, "MOST_FREQUENT", 1)
+    assert not len(jaccard_join._frequent(slim, 2, 300_000, len(rows), 0)[0])
+
+
 @pytest.mark.parametrize("rows", [1, 1 << 40])
 @pytest.mark.parametrize("leave_out", [0, 6, 1])
 def test_every_allocation_finds_every_pair(rows, leave_out):
