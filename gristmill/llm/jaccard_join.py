@@ -673,10 +673,11 @@ _PAIRS = "a bigint, b bigint, overlap bigint, total bigint"
 _LINKS = "a bigint, b bigint, sets bigint, docs bigint"
 
 
-def _compare(n: int, t: float, counted: bool):
-    """Rows by task: the documents of its one or two blocks, in order. All pairs that reach t, with overlap and size of the union; or, counted,
-    for each document the number of its links, in sets and in documents of this many copies (b is NULL), and pairs that connect what links connect."""
-    names = [c.split()[0] for c in (_LINKS if counted else _PAIRS).split(", ")]
+def _compare(n: int, t: float, wanted: str):
+    """Rows by task: the documents of its one or two blocks, in order. wanted: "pairs", all that reach t, with overlap and size of the union; "links",
+    for each document the number of its links, in sets and in documents of this many copies (b is NULL), and pairs that connect what links connect;
+    "classes", only the latter, and no more is compared once all are connected."""
+    names = [c.split()[0] for c in (_PAIRS if wanted == "pairs" else _LINKS).split(", ")]
 
     def rows(*columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in columns], names)
@@ -684,17 +685,21 @@ def _compare(n: int, t: float, counted: bool):
     def task(found: _ExactSets, rids: list[int], blocks: list[int], copies: list[int]) -> Iterator[pa.RecordBatch]:
         rid, sets, cut = np.array(rids), [found.sets[r] for r in rids], blocks.count(blocks[0])
         left, right = sets[:cut], sets[cut:] or None
-        if not counted:
+        if wanted == "pairs":
             for i, j, both in linked(left, right, t, True):
                 size = np.array([len(x) for x in sets])
                 yield rows(rid[i], rid[j], both, size[i] + size[j] - both)
             return
         number, each, label = np.zeros((2, len(rid))), np.array(copies, float), np.arange(len(rid))
         for i, j, _ in linked(left, right, t, False):
+            _unite(label, i, j)
+            if wanted == "classes":
+                if not _roots(label, np.arange(len(rid))).any():
+                    break
+                continue
             for x, y in ((i, j), (j, i)):
                 number[0] += np.bincount(x, minlength=len(rid))
                 number[1] += np.bincount(x, each[y], len(rid))
-            _unite(label, i, j)
         some = np.flatnonzero(number[0])
         yield rows(rid[some], None, number[0, some].astype(np.int64), number[1, some].astype(np.int64))
         root = _roots(label, np.arange(len(rid)))
@@ -743,7 +748,7 @@ def _verified(found: DataFrame, slim: DataFrame, n: int, threshold: float) -> Da
     return tasks.mapInArrow(tidied_stream(_verify(n, threshold)), "a bigint, b bigint, same boolean, overlap bigint, total bigint")
 
 
-def _compared(edges: DataFrame, twins: DataFrame, slim: DataFrame, n: int, threshold: float, counted: bool) -> DataFrame:
+def _compared(edges: DataFrame, twins: DataFrame, slim: DataFrame, n: int, threshold: float, wanted: str) -> DataFrame:
     """What ``_compare`` finds in each component of ``edges`` (a, b) of least documents; twins: (a, b), each further document with its set's least."""
     member = _in_blocks(components(edges), slim)
     copies = twins.groupBy(F.col("a").alias("rid")).agg((F.count(F.lit(1)) + 1).alias("copies"))
@@ -754,7 +759,7 @@ def _compared(edges: DataFrame, twins: DataFrame, slim: DataFrame, n: int, thres
     need = written(need.select("root", F.least("c", "k").alias("ca"), F.greatest("c", "k").alias("cb"), "c", "rid", "copies"), "block-needs")
     tasks = join_rows(slim, need, "rid").repartition("root", "ca", "cb").sortWithinPartitions("root", "ca", "cb", "c", "rid")
     tasks = tasks.select("root", "ca", "cb", "c", "rid", "copies", "text")
-    return tasks.mapInArrow(tidied_stream(_compare(n, threshold, counted)), _LINKS if counted else _PAIRS)
+    return tasks.mapInArrow(tidied_stream(_compare(n, threshold, wanted)), _PAIRS if wanted == "pairs" else _LINKS)
 
 
 def _sizes(slim: DataFrame, threshold: float) -> tuple[dict[int, int], int, int]:
@@ -766,7 +771,7 @@ def _sizes(slim: DataFrame, threshold: float) -> tuple[dict[int, int], int, int]
     return {r.b: int(r.n) for r in found}, sum(int(r.n) for r in found), sum(r.c for r in found)
 
 
-def _twins_and_compared(keyed: DataFrame, n: int, threshold: float, counted: bool, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def _twins_and_compared(keyed: DataFrame, n: int, threshold: float, wanted: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Over the rids of ``keyed`` (row, rid): (a, b) of each set's least document and each further one, and what ``_compare`` finds among the
     least documents of distinct sets."""
     small_batches(keyed.sparkSession)
@@ -781,21 +786,22 @@ def _twins_and_compared(keyed: DataFrame, n: int, threshold: float, counted: boo
     found = written(found.distinct(), "candidates")
     twins = written(_verified(found.filter("same"), slim, n, threshold), "copies")
     if twins.filter("overlap < total").limit(1).count():
-        return _twins_and_compared(keyed, n, threshold, counted, seed + 1)
+        return _twins_and_compared(keyed, n, threshold, wanted, seed + 1)
     twins = twins.select("a", "b")
-    return twins, written(_compared(found.filter("NOT same").select("a", "b"), twins, slim, n, threshold, counted), "compared")
+    return twins, written(_compared(found.filter("NOT same").select("a", "b"), twins, slim, n, threshold, wanted), "compared")
 
 
 def _twins_and_near(keyed: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(a, b) of each set's least document and each further one, and (a, b, millionths) of the least documents of distinct sets, a < b;
     the similarity in millionths, rounded down."""
-    twins, found = _twins_and_compared(keyed, n, threshold, False)
+    twins, found = _twins_and_compared(keyed, n, threshold, "pairs")
     return twins, found.select("a", "b", F.expr("overlap * 1000000 div total").alias("millionths"))
 
 
-def _classes(keyed: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rid, root) of the classes but for the roots, copies (a, b) as above, and (a, sets, docs) of the documents that have links to other sets."""
-    twins, found = _twins_and_compared(keyed, n, threshold, True)
+def _classes(keyed: DataFrame, n: int, threshold: float, wanted: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rid, root) of the classes but for the roots, copies (a, b) as above, and (a, sets, docs) of the documents that have
+    links to other sets, where "links" are wanted."""
+    twins, found = _twins_and_compared(keyed, n, threshold, wanted)
     tree = components(found.filter("b IS NOT NULL").select("a", "b").union(twins))
     return tree, twins, found.filter("b IS NULL").groupBy("a").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
 
@@ -846,7 +852,7 @@ def linked_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     numbers in the order of ids instead, since an id would not tell classes apart.
     """
     keyed, kind = with_row_id(docs)
-    tree, twins, links = _classes(keyed, n, threshold)
+    tree, twins, links = _classes(keyed, n, threshold, "links")
     tree = tree.unionByName(tree.select(F.col("root").alias("rid"), "root").distinct())
     tree = tree.join(twins.select(F.col("b").alias("rid"), F.col("a").alias("lead")), "rid", "left").withColumn("lead", F.coalesce("lead", "rid"))
     copies = twins.groupBy(F.col("a").alias("lead")).agg(F.count(F.lit(1)).alias("copies"))
@@ -896,5 +902,5 @@ def _state(e: DataFrame) -> tuple:
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document, the least by doc_id, of each group that pairs connect, in its own columns."""
     keyed, _ = with_row_id(docs)
-    drop = _classes(keyed, n, threshold)[0].select("rid")
+    drop = _classes(keyed, n, threshold, "classes")[0].select("rid")
     return unpacked(drop_rows(keyed, drop, "rid"), docs.columns)

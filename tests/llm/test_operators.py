@@ -234,6 +234,24 @@ def test_a_group_of_near_copies_leaves_a_partition_as_one_row_a_document():
     assert all((a < 200) == (b < 200) for a, b in zip(out["a"], out["b"]))
 
 
+def test_classes_need_no_more_comparisons_than_connect_a_group(monkeypatch):
+    """Near dedup: of a large group of near copies a part of the pairs is compared; a group that falls in two is compared as a whole."""
+    rng = random.Random(6)
+    base, apart = prose(rng, 60, 5000).split(), prose(rng, 60, 5000)
+    texts = [" ".join([*base[:at], f"new{i}", *base[at + 1 :]]) for i, at in enumerate(rng.choices(range(60), k=2400))]
+    seen, real = [], jaccard_join.linked
+    monkeypatch.setattr(jaccard_join, "linked", lambda *a: (seen.append(len(x[0])) or x for x in real(*a)))
+    for more in (0, 1):
+        n = len(texts) + more
+        whole = {c: [v] * n for c, v in (("root", 0), ("ca", 0), ("cb", 0), ("c", 0), ("copies", 1))}
+        batch = pa.RecordBatch.from_pydict(whole | {"rid": [*range(10, 10 + n)], "text": texts + [apart] * more})
+        out = [r for b in jaccard_join._compare(2, 0.7, "classes")(iter([batch])) for r in b.to_pylist()]
+        assert sorted((r["a"], r["b"]) for r in out) == [(10, i) for i in range(11, 10 + len(texts))]
+        every = len(texts) * (len(texts) - 1) // 2
+        assert sum(seen) < every / 2 if not more else sum(seen) == every
+        seen.clear()
+
+
 def test_frequent_grams_by_number_of_documents(spark, monkeypatch):
     """A gram of so many documents is frequent whatever their share, so that documents that meet by one gram don't grow with the input."""
     monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 20)
