@@ -40,7 +40,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -276,13 +276,14 @@ class _Maps:
 
     def __init__(self, raw: np.ndarray, size: np.ndarray, t: float):
         self.size, self.t, self.cls = size, t, _bits(size)
-        length = (np.int64(1) << self.cls) // 8
+        # places are counted in words of 64 bits: an index for each byte would take many times the maps
+        raw, length = raw.view(U), (np.int64(1) << self.cls) // 64
         start = np.cumsum(length) - length
         self.at, self.rows = {}, {}
         for c in np.unique(self.cls):
             own, up = np.flatnonzero(self.cls == c), np.flatnonzero(self.cls == c + 1)
-            m = raw[_spans(start[own], length[own])].reshape(len(own), (1 << int(c)) // 8).view(U)
-            u = raw[_spans(start[up], length[up])].reshape(len(up), (2 << int(c)) // 8).view(U)
+            m = raw[_spans(start[own], length[own])].reshape(len(own), (1 << int(c)) // 64)
+            u = raw[_spans(start[up], length[up])].reshape(len(up), (2 << int(c)) // 64)
             half = m.shape[1]
             at = np.full(len(size), -1, np.int64)
             at[own] = np.arange(len(own))
@@ -382,7 +383,7 @@ def _blocks(n: int, plan: Plan, spread: Spread, frequent: np.ndarray, often: np.
         doc = np.concatenate([x[1] for x in held])
         part = np.concatenate([x[2] for x in held])
         rid, size, mark, maps = (np.concatenate(arrays[k]) for k in ("rid", "size", "print", "map"))
-        length = (np.int64(1) << _bits(size)) // 8
+        maps, length = maps.view(U), (np.int64(1) << _bits(size)) // 64
         start = np.cumsum(length) - length
         order = np.argsort(part.astype(np.int64) * len(rid) + doc)
         key, doc, part = key[order].astype(np.uint32), doc[order], part[order]
@@ -467,9 +468,9 @@ def _candidates(t: float):
 
         columns = {k: [unplanes(b, w).astype(np.int64) for b in table.column(k).to_pylist()] for k, w in (("rids", 8), ("sizes", 4), ("counts", 4))}
         rid = np.concatenate([np.cumsum(x) for x in columns["rids"]])
-        size, count = np.concatenate(columns["sizes"]), np.concatenate(columns["counts"])
+        size, counts = np.concatenate(columns["sizes"]), columns["counts"]
+        del columns
         mark = joined("prints", np.uint8).copy().view(U)
-        doc = np.repeat(np.arange(len(rid), dtype=np.int32), count)
         # documents with equal sets: only the least goes on, the others are joined to it
         order = np.lexsort((rid, size, mark))
         new = np.concatenate([[True], (mark[order][1:] != mark[order][:-1]) | (size[order][1:] != size[order][:-1])])
@@ -478,14 +479,18 @@ def _candidates(t: float):
         leader[order] = lead
         twins = np.flatnonzero(rid[leader] != rid)
         a_out, b_out, same = [rid[leader[twins]]], [rid[twins]], [np.ones(len(twins), bool)]
-        lead_of = np.where(rid[leader] == rid, leader, -1).astype(np.int64)[doc]
-        del doc
-        # key and document in one integer, sorted in place; the kind of signature is the key's lowest bit
-        both = joined("keys", np.uint32).astype(U)
-        both <<= U(32)
-        both |= lead_of.view(U)
-        both = both[lead_of >= 0]
-        del lead_of
+        lead_of = np.where(rid[leader] == rid, leader, -1).astype(np.int32)
+        # key and document in one integer, filled block by block and sorted in place; the kind of signature is the key's lowest bit
+        both, at, first = np.empty(sum(int(c.sum()) for c in counts), U), 0, 0
+        for c, keys in zip(counts, table.column("keys")):
+            doc = np.repeat(lead_of[first : first + len(c)], c)
+            use = doc >= 0
+            to = at + int(use.sum())
+            both[at:to] = np.frombuffer(keys.as_buffer(), np.uint32)[use]
+            both[at:to] <<= U(32)
+            both[at:to] |= doc[use].view(np.uint32)
+            at, first = to, first + len(c)
+        both = both[:at]
         both.sort()
         key = both.view(np.uint32)[1::2]
         same_run = (key[1:] ^ key[:-1]) < 2
@@ -524,6 +529,27 @@ def _candidates(t: float):
     return run
 
 
+def _each_part(run: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over all blocks of each partition of a task, of which ``_by_part`` makes it one."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            for p in np.unique(part).tolist():
+                held.setdefault(p, []).append(batch if (part == p).all() else batch.filter(pa.array(part == p)))
+        for p in sorted(held):
+            yield from run(pa.Table.from_batches(held.pop(p))).to_batches()
+
+    return out
+
+
+def _by_part(blocks: DataFrame, parts: int, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` over the blocks of each partition. A partition is a task of its own and its blocks go to Python as they are read: groups would be
+    sorted in the JVM first, together with those of all partitions that fall to the same task by hash."""
+    return blocks.repartitionById(parts, "part").mapInArrow(tidied_stream(_each_part(run)), schema)
+
+
 def _one(label: np.ndarray, key: np.ndarray, doc: np.ndarray, here: np.ndarray) -> np.ndarray:
     """Whether all documents that have the key at a place are connected. key: sorted."""
     k, back = np.unique(key[here], return_inverse=True)
@@ -781,7 +807,7 @@ def _twins_and_compared(keyed: DataFrame, n: int, threshold: float, wanted: str,
     plan = Plan(threshold, rows, cold, OVERLAP)
     spread = Spread(mass, max(1, math.ceil(size / PARTITION_BYTES)))
     blocks = slim.filter("text IS NOT NULL").mapInArrow(tidied_stream(_blocks(n, plan, spread, frequent, often, seed)), BLOCK)
-    found = blocks.groupBy("part").applyInArrow(tidied(_candidates(threshold)), "a bigint, b bigint, same boolean")
+    found = _by_part(blocks, spread.parts, _candidates(threshold), "a bigint, b bigint, same boolean")
     # copies and pairs are reported by several partitions; a copy's least leader over all of them is its own
     found = written(found.distinct(), "candidates")
     twins = written(_verified(found.filter("same"), slim, n, threshold), "copies")

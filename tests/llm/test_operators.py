@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, common, exact_dedup, jaccard_join, licenses, mixing, packing, quality, queries, suffix_dedup, token_output, tokens, warc
+from gristmill.llm import chat, common, exact_dedup, grams, jaccard_join, licenses, mixing, packing, quality, queries, suffix_dedup, token_output, tokens, warc
 from gristmill.llm.license_rules import rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, rid long, n int, gid long, copies int, score double"
@@ -234,6 +235,45 @@ def test_a_group_of_near_copies_leaves_a_partition_as_one_row_a_document():
     assert all((a < 200) == (b < 200) for a, b in zip(out["a"], out["b"]))
 
 
+def test_a_partition_of_signatures_is_a_task_of_its_own(spark):
+    """Not one of several that a hash puts together, and without a sort of its blocks in the JVM."""
+    blocks = spark.createDataFrame([(i % 9, bytes(i)) for i in range(90)], "part int, keys binary").repartition(5)
+
+    def run(table):
+        from pyspark import TaskContext
+
+        return pa.table({"part": table.column("part")[:1], "task": [TaskContext.get().partitionId()], "n": [len(table)], "parts": [len(table.column("part").unique())]})
+
+    found = jaccard_join._by_part(blocks, 9, run, "part int, task bigint, n bigint, parts bigint")
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert sorted((r.part, r.n, r.parts) for r in rows) == [(p, 10, 1) for p in range(9)] and len({r.task for r in rows}) == 9
+
+
+def test_memory_of_a_partition_of_signatures():
+    """Of the worker: in bytes a signature, and in bytes of parity maps."""
+    rng, docs, each = np.random.default_rng(5), 4000, 250
+    columns = {
+        "keys": rng.integers(0, 1 << 32, docs * each, dtype=np.uint32).tobytes(),
+        "counts": grams.planes(np.full(docs, each), 4),
+        "rids": grams.planes(np.ones(docs, np.int64), 8),
+        "sizes": grams.planes(np.full(docs, 60), 4),
+        "prints": rng.integers(0, 1 << 63, docs, dtype=np.uint64).tobytes(),
+        "maps": bytes(8 * docs),
+    }
+    table = pa.table({"part": pa.array([0], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in columns.items()})
+    size = np.full(20_000, 300)
+    raw = rng.integers(0, 256, 64 * len(size), dtype=np.uint8)
+    peaks = []
+    for run in (lambda: jaccard_join._candidates(0.7)(table), lambda: jaccard_join._Maps(raw, size, 0.7)):
+        run()
+        tracemalloc.start()
+        run()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[0] < 20 * docs * each and peaks[1] < 8 * len(raw)
+
+
 def test_classes_need_no_more_comparisons_than_connect_a_group(monkeypatch):
     """Near dedup: of a large group of near copies a part of the pairs is compared; a group that falls in two is compared as a whole."""
     rng = random.Random(6)
