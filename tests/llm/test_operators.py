@@ -545,6 +545,30 @@ def test_encoder_is_the_tokenizer():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == (enc.bpe.encode_ordinary(t) if t else [])
 
 
+def test_encoder_joins_new_units():
+    """New units go to the tokenizer many at a call; those that would run into a neighbour there keep their own ids, also when the store starts anew."""
+    rng = random.Random(2)
+    wide = ["\u0085", "\u00a0", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000"]
+    alphabet = ["a", "B", " ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\u201d", "\u20ac", "\u0e01", "7", "'ll", "!?", *wide]
+    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    plain = [" ".join(f"w{rng.randrange(20_000)}" for _ in range(60)) for _ in range(400)]
+    before, tokens.UNITS = tokens.UNITS, 500
+    try:
+        enc = tokens.Encoder(tokens.PATH)
+        for texts in (odd, plain, [*plain[:50], None, "", *odd[:500]], odd):
+            want = [enc.bpe.encode_ordinary(t or "") for t in texts]
+            ids, bounds = enc.encode(pa.array(texts))
+            assert [ids[a:z].tolist() for a, z in zip(bounds, bounds[1:])] == want
+            assert enc.counts(pa.array(texts)).tolist() == [len(w) for w in want]
+    finally:
+        tokens.UNITS = before
+    calls, real = [], enc.bpe
+    enc.bpe = type("Counting", (), {"encode_ordinary": staticmethod(lambda t: calls.append(t) or real.encode_ordinary(t))})
+    enc.forget()
+    enc.encode(pa.array(plain))
+    assert len(calls) <= 2 * len(plain)  # some 14,000 distinct units, of which one a text begins without a white space
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_output(spark, docs, none, tmp_path, encoding):
     import pyarrow.parquet as pq
