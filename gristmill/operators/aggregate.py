@@ -78,13 +78,15 @@ def merge(states: DataFrame, spec: AggSpec) -> DataFrame:
 def raw_aggregate(df: DataFrame, spec: AggSpec, partitions: int | None = None) -> DataFrame:
     """Exchange raw rows on the keys first and aggregate after it: pays when nearly every key is unique.
 
-    Only the columns that the aggregate needs cross the exchange. Without ``partitions`` the session's
-    shuffle partitions (and adaptive coalescing) decide.
+    Only the columns that the aggregate needs cross the exchange. The session's shuffle partitions (and adaptive coalescing) decide how
+    many tasks aggregate, or ``partitions`` if it is more. Fewer partitions are shared by that many tasks, each with keys of its own:
+    with a task to a partition, that task would hold all of the partition's groups.
     """
     needed = [*spec.keys, *[a.expr for a in spec.aggs if isinstance(a.expr, str)]]
     slim = df if any(isinstance(a.expr, Column) for a in spec.aggs) else df.select(*dict.fromkeys(needed))
     keys = [F.col(k) for k in spec.keys]
-    moved = slim.repartition(partitions, *keys) if partitions else slim.repartition(*keys)
+    more = partitions and partitions > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moved = slim.repartition(partitions, *keys) if more else slim.repartition(*keys)
     return group_aggregate(moved, spec)
 
 

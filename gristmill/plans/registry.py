@@ -115,7 +115,7 @@ def cart_raw_taken(spark, data_dir):
 
 @query("radix_off", _COUNT_SQL)
 def radix_off(spark, data_dir):
-    """All raw rows in one partition: the reference point of the radix partitions, not for large inputs."""
+    """All raw rows are of one partition, which tasks share out by key: the reference point of the radix partitions."""
     return raw_aggregate(_lines(spark, data_dir), AggSpec(["l_orderkey"]), partitions=1)
 
 

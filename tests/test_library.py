@@ -21,6 +21,20 @@ def test_raw_path_exchanges_below_the_partial_aggregate(spark):
     assert pre.index("Exchange") < pre.index("partial_count")
 
 
+def test_tasks_share_few_partitions_of_the_raw_path(spark):
+    df, spec = spark.range(20_000).select((F.col("id") % 8000).alias("k")), AggSpec(["k"])
+    want = sorted(group_aggregate(df, spec).collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for partitions, tasks in ((None, 4), (1, 4), (3, 4), (4, 4), (9, 9)):
+            d = raw_aggregate(df, spec, partitions)
+            groups = [r[1] for r in d.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(groups) == tasks and sum(groups) == 8000 and max(groups) < 2 * 8000 / tasks
+            assert sorted(d.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_generated_keys_and_decisions(spark):
     low, high = generator.generated(spark, 400, 10, 3), generator.generated(spark, 400, 1_000_000, 3)
     assert low.count() == 10_000 and low.select("c0").distinct().count() == 10 and len(low.columns) == 16
